@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 #: Fixed by the query contracts: a word is a run of characters other than space and \t\n\v\f\r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: White space to str.split() but not to WORD.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text, as WORD finds them; str.split() is faster where it agrees."""
+    return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

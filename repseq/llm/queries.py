@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repseq.llm.quality import op1_quality
 from repseq.llm.sharding import op8_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_sharding,)}
+    return {f.__name__: f for f in (op1_quality, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
