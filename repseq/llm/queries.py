@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repseq.llm.packing import op9_packing
 from repseq.llm.quality import op1_quality
 from repseq.llm.sharding import op8_sharding
 from repseq.llm.simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_simhash, op8_sharding)}
+    return {f.__name__: f for f in (op1_quality, op3_simhash, op8_sharding, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
