@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repseq.llm.html import op6_html
 from repseq.llm.langid import op2_langid
 from repseq.llm.packing import op9_packing
 from repseq.llm.quality import op1_quality
@@ -14,7 +15,7 @@ from repseq.llm.simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op8_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op6_html, op8_sharding, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
