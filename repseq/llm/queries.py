@@ -12,10 +12,11 @@ from repseq.llm.packing import op9_packing
 from repseq.llm.quality import op1_quality
 from repseq.llm.sharding import op8_sharding
 from repseq.llm.simhash import op3_simhash
+from repseq.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op6_html, op8_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op6_html, op7_toxicity, op8_sharding, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
