@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repseq.llm.ann import op10_ann
 from repseq.llm.html import op6_html
 from repseq.llm.langid import op2_langid
 from repseq.llm.packing import op9_packing
@@ -16,7 +17,7 @@ from repseq.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op6_html, op7_toxicity, op8_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op6_html, op7_toxicity, op8_sharding, op9_packing, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
