@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from repseq.llm.ann import op10_ann
 from repseq.llm.html import op6_html
 from repseq.llm.langid import op2_langid
+from repseq.llm.mixing import op4_mixing
 from repseq.llm.packing import op9_packing
 from repseq.llm.quality import op1_quality
 from repseq.llm.sharding import op8_sharding
@@ -17,7 +18,7 @@ from repseq.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op6_html, op7_toxicity, op8_sharding, op9_packing, op10_ann)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op4_mixing, op6_html, op7_toxicity, op8_sharding, op9_packing, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
