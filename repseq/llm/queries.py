@@ -15,11 +15,13 @@ from repseq.llm.quality import op1_quality
 from repseq.llm.sharding import op8_sharding
 from repseq.llm.simhash import op3_simhash
 from repseq.llm.toxicity import op7_toxicity
+from repseq.llm.warc import ORACLE as WARC_SQL
+from repseq.llm.warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op4_mixing, op6_html, op7_toxicity, op8_sharding, op9_packing, op10_ann)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op3_simhash, op4_mixing, op5_warc, op6_html, op7_toxicity, op8_sharding, op9_packing, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": WARC_SQL}
