@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from repseq.plans import usage
+from repseq.plans import sequence, usage
 
-REGISTRIES = [usage.REGISTRY]
+REGISTRIES = [usage.REGISTRY, sequence.REGISTRY]
 
 
 def queries() -> dict:
