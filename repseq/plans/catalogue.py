@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from repseq.plans import sequence, usage
+from repseq.plans import diversity, sequence, usage
 
-REGISTRIES = [usage.REGISTRY, sequence.REGISTRY]
+REGISTRIES = [usage.REGISTRY, sequence.REGISTRY, diversity.REGISTRY]
 
 
 def queries() -> dict:
