@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from repseq.plans import diversity, sequence, usage
+from repseq.plans import cluster, diversity, sequence, usage
 
-REGISTRIES = [usage.REGISTRY, sequence.REGISTRY, diversity.REGISTRY]
+REGISTRIES = [usage.REGISTRY, sequence.REGISTRY, diversity.REGISTRY, cluster.REGISTRY]
 
 
 def queries() -> dict:
