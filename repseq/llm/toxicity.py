@@ -237,9 +237,12 @@ def score(df: DataFrame, scorer: Scorer, *, text: str = "text", out: str = "toxi
 
 
 def labelled(docs: DataFrame, labels: DataFrame, where: Column) -> DataFrame:
-    """The rows of ``docs`` that ``where`` picks, with their label; of several labels of one document the largest holds."""
+    """The rows of ``docs`` that ``where`` picks, with their label; of several labels of one document the largest holds.
+
+    Both sides grow with the corpus, so the join is a sorted one at every size.
+    """
     one = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
-    return docs.select("doc_id", "text").where(where).join(one, "doc_id")
+    return docs.select("doc_id", "text").where(where).join(one.hint("merge"), "doc_id")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
