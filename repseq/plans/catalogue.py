@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from repseq.plans import cluster, diversity, sequence, usage
+from repseq.plans import cluster, diversity, sequence, topology, usage
 
-REGISTRIES = [usage.REGISTRY, sequence.REGISTRY, diversity.REGISTRY, cluster.REGISTRY]
+REGISTRIES = [usage.REGISTRY, sequence.REGISTRY, diversity.REGISTRY, cluster.REGISTRY, topology.REGISTRY]
 
 
 def queries() -> dict:
