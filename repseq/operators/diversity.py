@@ -195,7 +195,7 @@ def bootstrap_abundance(complete: DataFrame, sizes: DataFrame, group: str, clone
 
     drawn = shares.groupBy(group).applyInPandas(totals, f"{group} {kind}, _part int, _drawn array<long>, nsam long")
 
-    def clones(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def clones(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({group: [], clone: [], "boot": []})
         left = left.sort_values(clone)

@@ -20,7 +20,7 @@ def _trees(nodes: DataFrame, edges: DataFrame, walk, schema: str) -> DataFrame:
     """``walk(tree_id, names, children, extra)`` per tree; its rows follow ``tree_id`` in ``schema``."""
     kind = nodes.schema["tree_id"].dataType.simpleString()
 
-    def one(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         children: dict[str, list[tuple[str, float]]] = {x: [] for x in n["name"]}
         for p, c, w in zip(e["parent"], e["child"], e["weight"], strict=True):
             if p in children and c in children:
@@ -28,7 +28,8 @@ def _trees(nodes: DataFrame, edges: DataFrame, walk, schema: str) -> DataFrame:
         rows = walk(children, n)
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["tree_id", *(c.split()[0] for c in schema.split(", "))])
 
-    ends = edges.select("tree_id", "parent", "child", F.col("weight").cast("double").alias("weight"))
+    # New names for the keys, as both tables may come from one.
+    ends = edges.select(F.col("tree_id").alias("tree_id"), "parent", "child", F.col("weight").cast("double").alias("weight"))
     return nodes.groupBy("tree_id").cogroup(ends.groupBy("tree_id")).applyInPandas(one, f"tree_id {kind}, {schema}")
 
 
