@@ -31,7 +31,8 @@ def _related(rows: DataFrame, ignore: Sequence[str]) -> tuple[DataFrame, DataFra
     meet = (F.col("a._b") == F.col("b._b")) & (F.col("a._n") == F.col("b._n")) & (F.col("a._s") < F.col("b._s"))
     one = a.join(b, meet).where(seq_equal("a._s", "b._s", [c[:1] for c in ignore])).select(F.col("a._b").alias("_b"), F.col("a._s").alias("s1"), F.col("b._s").alias("s2"))
     one = cut_lineage(one)
-    both = one.union(one.select("_b", "s2", "s1"))
+    ways = F.array(F.struct("s1", "s2"), F.struct(F.col("s2").alias("s1"), F.col("s1").alias("s2")))
+    both = one.select("_b", F.inline(ways))
     left, right = both.alias("l"), both.alias("r")
     wedge = left.join(right, (F.col("l._b") == F.col("r._b")) & (F.col("l.s1") == F.col("r.s1")) & (F.col("l.s2") < F.col("r.s2")))
     wedge = wedge.select(F.col("l._b").alias("_b"), F.col("l.s1").alias("_s"), F.col("l.s2").alias("s1"), F.col("r.s2").alias("s2"))

@@ -28,7 +28,7 @@ def ln_gamma(x: Column) -> Column:
     y, shift = x + 8, F.lit(1.0)
     for i in range(8):
         shift = shift * (x + i)
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(shift)
 
 

@@ -40,7 +40,7 @@ def group_genes(
     Without ``cell_id`` every row is grouped by its own calls, and rows without a call are dropped. With it, cells are
     grouped by their heavy chain and all their rows inherit the group; cells without a usable heavy chain get NULL; several
     heavy chains in a cell raise. Rows without a cell form one pseudo-cell, so their heavy chains end in one group
-    (``mixed_bulk="pooled"``), or are grouped one by one (``"independent"``; light ones then get NULL).
+    (``mixed_bulk="pooled"``), or are grouped one by one (``"independent"``); light ones get NULL either way.
 
     ``first`` uses the first call only. Groups are numbered by their smallest combination, in byte order. The graph holds
     distinct combinations of genes, not rows.
@@ -70,6 +70,7 @@ def group_genes(
     rest = data.where(F.col(cell_id).isNull())
     if mixed_bulk == "pooled":
         group = loose.select("_combo").distinct().join(names, "_combo").agg(F.min(out).alias(out))  # they all have one
-        return celled.unionByName(rest.crossJoin(F.broadcast(group)))
+        pooled_rows = rest.crossJoin(F.broadcast(group.withColumnRenamed(out, "_group")))
+        return celled.unionByName(pooled_rows.withColumn(out, F.when(is_heavy(locus), F.col("_group"))).drop("_group"))
     own = rest.withColumn("_combo", F.when(is_heavy(locus) & usable, F.array_join(_keys(v, j, length), "|")))
     return celled.unionByName(own.join(names, "_combo", "left").select(*data.columns, out))

@@ -214,7 +214,7 @@ def phylip_edges(output: str, taxa: dict[str, str]) -> list[tuple[str, str]]:
     out = []
     for x in lines[start + 1 :]:
         parts = x.split()
-        if len(parts) >= 2 and re.fullmatch(r"[-\d.eE+]+", parts[2] if len(parts) > 2 else "0"):
+        if len(parts) >= 2 and not set(x.strip()) <= set("- ") and re.fullmatch(r"[-\d.eE+]+", parts[2] if len(parts) > 2 else "0"):
             out.append((name(parts[0]), name(parts[1])))
         elif not parts and out:
             break

@@ -31,7 +31,7 @@ def _group_sql(first: bool = False, length: bool = False, cells: str | None = No
     if not cells:
         return f"{base} SELECT sequence_id, vj_group FROM r JOIN k USING (combo)"
     celled = "SELECT sequence_id, vj_group FROM airr LEFT JOIN (SELECT cell_id, vj_group FROM r JOIN k USING (combo) WHERE cell_id IS NOT NULL) USING (cell_id) WHERE airr.cell_id IS NOT NULL"
-    loose = "SELECT sequence_id, (SELECT min(vj_group) FROM r JOIN k USING (combo) WHERE cell_id IS NULL) FROM airr WHERE cell_id IS NULL"
+    loose = "SELECT sequence_id, CASE WHEN locus IN ('IGH', 'TRB', 'TRD') THEN (SELECT min(vj_group) FROM r JOIN k USING (combo) WHERE cell_id IS NULL) END FROM airr WHERE cell_id IS NULL"
     if cells == "independent":
         loose = "SELECT a.sequence_id, vj_group FROM airr a LEFT JOIN (SELECT sequence_id, vj_group FROM r JOIN k USING (combo)) USING (sequence_id) WHERE cell_id IS NULL"
     return f"{base} {celled} UNION ALL {loose}"
