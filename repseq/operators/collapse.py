@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repseq.functions.sequence import DEFAULT_IGNORE, seq_equal
 from repseq.operators.components import connected_components
-from repseq.session import cut_lineage
+from repseq.session import cut_lineage, tasks
 
 #: Fixed: characters that carry no information, whatever is ignored in comparisons.
 UNINFORMATIVE = "N-.?"
@@ -26,7 +26,7 @@ def _related(rows: DataFrame, ignore: Sequence[str]) -> tuple[DataFrame, DataFra
 
     A sequence is ambiguous if two of those it equals differ from each other.
     """
-    u = rows.select("_b", "_s").distinct().withColumn("_n", F.length("_s"))
+    u = rows.select("_b", "_s").distinct().withColumn("_n", F.length("_s")).repartition(tasks(rows.sparkSession), "_b", "_n")
     a, b = u.alias("a"), u.alias("b")
     meet = (F.col("a._b") == F.col("b._b")) & (F.col("a._n") == F.col("b._n")) & (F.col("a._s") < F.col("b._s"))
     one = a.join(b, meet).where(seq_equal("a._s", "b._s", [c[:1] for c in ignore])).select(F.col("a._b").alias("_b"), F.col("a._s").alias("s1"), F.col("b._s").alias("s2"))

@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from repseq.functions.constants import dna_matrix
 from repseq.functions.sequence import DEFAULT_IGNORE, mismatch_count, seq_dist, seq_equal
+from repseq.session import tasks
 
 
 def _pairs(left: DataFrame, right: DataFrame, seq: str, by: Sequence[str], order: Column) -> DataFrame:
-    """Pairs within a block: equal ``by`` values (NULL is a value) and equal length."""
-    a = left.select(*by, F.col(seq)).distinct().withColumn("_n", F.length(seq)).alias("a")
-    b = right.select(*by, F.col(seq)).distinct().withColumn("_n", F.length(seq)).alias("b")
-    cond = (F.col("a._n") == F.col("b._n")) & order
-    for k in by:
-        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, cond).select(*(F.col(f"a.{k}") for k in by), F.col(f"a.{seq}").alias("seq1"), F.col(f"b.{seq}").alias("seq2"))
+    """Pairs within a block: equal ``by`` values (NULL is a value) and equal length.
+
+    Both sides are dealt by block to as many tasks as there are, since the pairs outgrow the sequences by far.
+    """
+    n = tasks(left.sparkSession)
+    block = F.to_json(F.struct(*(F.col(k).cast("string").alias(f"f{i}") for i, k in enumerate(by)))) if by else F.lit("")
+    sides = []
+    for name, df in (("a", left), ("b", right)):
+        side = df.where(F.col(seq).isNotNull()).select(*by, F.col(seq)).distinct().withColumns({"_block": block, "_n": F.length(seq)})
+        sides.append(side.repartition(n, "_block", "_n").alias(name))
+    cond = (F.col("a._block") == F.col("b._block")) & (F.col("a._n") == F.col("b._n")) & order
+    return sides[0].join(sides[1], cond).select(*(F.col(f"a.{k}") for k in by), F.col(f"a.{seq}").alias("seq1"), F.col(f"b.{seq}").alias("seq2"))
 
 
 def pairwise_dist(df: DataFrame, seq: str, *, by: Sequence[str] = (), matrix: Mapping | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repseq.session import spread
+
 #: One rearrangement per order.
 AIRR = """
 SELECT concat('S', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS sequence_id,
@@ -54,7 +56,7 @@ WITH_FOREST = f"WITH {FOREST.strip()}"
 
 def airr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rearrangement view over ``orders``."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus"))
     return spark.sql(AIRR.replace("FROM orders)", "FROM {orders})"), orders=orders)
 
 

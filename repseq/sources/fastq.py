@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from repseq.operators.quality import sequence_alignment_quality
 
 
-def read_fastq(spark: SparkSession, path: str, *, quality_offset: int = -33, header: str = "presto") -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, *, quality_offset: int = -33, header: str = "piped") -> DataFrame:
     """``(sequence_id, sequence, quality, quality_num)`` of each four-line record.
 
     Records are counted by lines (an ``@`` may start a quality line), so a file is read by one task; give many files for
-    many tasks. With the ``presto`` header the id ends at the first ``|``.
+    many tasks. With the ``piped`` header the id ends at the first ``|``.
     """
-    if header not in ("presto", "asis"):
-        raise ValueError("header must be presto or asis")
+    if header not in ("piped", "asis"):
+        raise ValueError("header must be piped or asis")
 
     def records(batches):
         for pdf in batches:
@@ -25,7 +25,7 @@ def read_fastq(spark: SparkSession, path: str, *, quality_offset: int = -33, hea
                 lines = text.splitlines()
                 for i in range(0, len(lines) - 3, 4):
                     name, seq, qual = lines[i][1:].strip(), lines[i + 1].strip(), lines[i + 3]
-                    if header == "presto":
+                    if header == "piped":
                         name = name.split("|")[0]
                     out.append((name, seq, qual, ",".join(str(ord(c) + quality_offset) for c in qual)))
             yield pd.DataFrame(out, columns=["sequence_id", "sequence", "quality", "quality_num"])
@@ -33,7 +33,7 @@ def read_fastq(spark: SparkSession, path: str, *, quality_offset: int = -33, hea
     return spark.read.text(path, wholetext=True).mapInPandas(records, "sequence_id string, sequence string, quality string, quality_num string")
 
 
-def read_fastq_db(data: DataFrame, path: str, *, quality_offset: int = -33, header: str = "presto", style: str = "both", quality_sequence: bool = False, **columns: str) -> DataFrame:
+def read_fastq_db(data: DataFrame, path: str, *, quality_offset: int = -33, header: str = "piped", style: str = "both", quality_sequence: bool = False, **columns: str) -> DataFrame:
     """Adds alignment qualities from FASTQ files to the rearrangements with the same id.
 
     ``style``: ``num`` keeps the numbers, ``phred`` (or ``ascii``) the characters, ``both`` both; ``quality_sequence`` keeps

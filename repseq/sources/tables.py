@@ -46,7 +46,7 @@ def _typed(df: DataFrame, kinds: dict[str, Sequence[str]]) -> DataFrame:
     return df.withColumns(cast) if cast else df
 
 
-def read_changeo(spark: SparkSession, path: str | Sequence[str], *, select: Sequence[str] | None = None, drop: Sequence[str] | None = None, seq_upper: bool = True) -> DataFrame:
+def read_legacy(spark: SparkSession, path: str | Sequence[str], *, select: Sequence[str] | None = None, drop: Sequence[str] | None = None, seq_upper: bool = True) -> DataFrame:
     """Reads upper-case tables with their types; ``select`` then ``drop`` columns, which the scan then skips."""
     df = _read(spark, path)
     if "sequence_id" in df.columns and "SEQUENCE_ID" not in df.columns:
@@ -66,7 +66,7 @@ def _write(df: DataFrame, path: str, true: str, false: str, mode: str) -> None:
     text.write.mode(mode).csv(path, sep="\t", header=True, nullValue="NA" if true == "TRUE" else "", quote="", emptyValue="")
 
 
-def write_changeo(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_legacy(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Writes tab-separated files with ``NA`` for NULL."""
     _write(df, path, "TRUE", "FALSE", mode)
 

@@ -12,16 +12,16 @@ from repseq.streaming.counts import stream_clone_counts, stream_gene_counts
 
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("a", "acgt", True, 3, 0.5), ("b", None, None, None, None)], "SEQUENCE_ID string, JUNCTION string, FUNCTIONAL boolean, DUPCOUNT long, V_SCORE double")
-    tables.write_changeo(df, f"{tmp_path}/c")
-    back = tables.read_changeo(spark, f"{tmp_path}/c")
+    tables.write_legacy(df, f"{tmp_path}/c")
+    back = tables.read_legacy(spark, f"{tmp_path}/c")
     assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect())) == [("a", "ACGT", True, 3, 0.5), ("b", None, None, None, None)]
-    some = tables.read_changeo(spark, f"{tmp_path}/c", select=["SEQUENCE_ID", "JUNCTION", "DUPCOUNT"], drop=["DUPCOUNT"], seq_upper=False)
+    some = tables.read_legacy(spark, f"{tmp_path}/c", select=["SEQUENCE_ID", "JUNCTION", "DUPCOUNT"], drop=["DUPCOUNT"], seq_upper=False)
     assert some.columns == ["SEQUENCE_ID", "JUNCTION"] and some.where("SEQUENCE_ID = 'a'").first().JUNCTION == "acgt"
     airr = df.toDF("sequence_id", "junction", "productive", "duplicate_count", "v_score")
     tables.write_airr(airr, f"{tmp_path}/a")
     assert sorted(map(tuple, tables.read_airr(spark, f"{tmp_path}/a").collect())) == sorted(map(tuple, airr.collect()))
     with pytest.warns(UserWarning, match="AIRR"):
-        tables.read_changeo(spark, f"{tmp_path}/a")
+        tables.read_legacy(spark, f"{tmp_path}/a")
 
 
 def test_cigar():
@@ -85,20 +85,20 @@ def test_reroot_keeps_path_lengths():
     assert far(root) == pytest.approx(before) and any(c.name == "g" and c.length == 0 for c in root.children)
 
 
-def test_igphyml(spark, tmp_path):
+def test_codon_trees(spark, tmp_path):
     head = "CLONE\tNSEQ\tNSITE\tTREE_LENGTH\tLHOOD\tKAPPA_MLE\tTREE\n"
-    body = "REPERTOIRE\t4\t100\t1.5\t-20\t2.0\tigphyml --run\n1\t4\t100\t1.5\t-20\tNA\t" + "((a:0.1,b:0.2)n1:0.05,1_GERM:0.0)r;\n"
+    body = "REPERTOIRE\t4\t100\t1.5\t-20\t2.0\tprogram --run\n1\t4\t100\t1.5\t-20\tNA\t" + "((a:0.1,b:0.2)n1:0.05,1_GERM:0.0)r;\n"
     (tmp_path / "t.tab").write_text(head + body)
-    run = trees.read_igphyml(spark, f"{tmp_path}/t.tab", id="run1")
-    assert run.command == "igphyml --run" and run.params.count() == 2
+    run = trees.read_codon_trees(spark, f"{tmp_path}/t.tab", id="run1")
+    assert run.command == "program --run" and run.params.count() == 2
     assert sorted((r.parent, r.child, r.weight) for r in run.edges.collect()) == [("1_GERM", "n1", 5.0), ("n1", "a", 10.0), ("n1", "b", 20.0)]
-    phylo = trees.read_igphyml(spark, f"{tmp_path}/t.tab", format="phylo", branches="distance").edges
+    phylo = trees.read_codon_trees(spark, f"{tmp_path}/t.tab", format="phylo", branches="distance").edges
     assert phylo.where("parent = '0'").count() == 1 and phylo.count() == 5
-    wide = trees.combine_igphyml([run, trees.read_igphyml(spark, f"{tmp_path}/t.tab", id="run2")])
+    wide = trees.combine_codon_runs([run, trees.read_codon_trees(spark, f"{tmp_path}/t.tab", id="run2")])
     assert wide.columns == ["id", "nseq", "nsite", "lhood", "tree_length", "kappa_mle"] and wide.count() == 2
-    assert trees.combine_igphyml([run], "long").count() == 5
+    assert trees.combine_codon_runs([run], "long").count() == 5
     with pytest.raises(ValueError, match="id"):
-        trees.combine_igphyml([trees.read_igphyml(spark, f"{tmp_path}/t.tab")])
+        trees.combine_codon_runs([trees.read_codon_trees(spark, f"{tmp_path}/t.tab")])
 
 
 def test_phylo_and_back(spark):
