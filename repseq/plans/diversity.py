@@ -54,7 +54,7 @@ def _evenness(c: DataFrame) -> DataFrame:
 
 
 _add("hill_evenness", _evenness, f"{_HILL} SELECT sample_id, q, round(d, 6) AS d, round(d / max(d) FILTER (q = 0) OVER (PARTITION BY sample_id), 6) AS e FROM h")
-_M = 500
+_M = 300
 _add(
     "rarefied_coverage",
     lambda c: D.rarefied_coverage(c, "x", _M, "sample_id"),
