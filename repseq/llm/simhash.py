@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repseq.llm._common import rows, table
+from repseq.llm.minhash import near_copies
 from repseq.operators.components import connected_components
 from repseq.session import cut_lineage
 
@@ -142,7 +143,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays (the one with the smallest id; rows without id stay)."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Pipeline stage: one document of each component of near copies stays (the one with the smallest id; rows without id stay).
+
+    Near copies share four fifths of their five-word shingles or more; op3's fingerprints at three bits find few of them.
+    """
+    keep = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
