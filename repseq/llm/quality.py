@@ -193,8 +193,12 @@ def measure(df: DataFrame, text: str = "text", *, least: int = 50, out: str = "q
     return df.withColumn(out, counts(F.col(text)))
 
 
-def passes(quality: str = "quality", *, max_covered: float = 0.5, max_longest: float = 0.3) -> Column:
-    """The verdict on a measured row: its repeats cover ``max_covered`` of the bytes at most, the longest ``max_longest``."""
+def passes(quality: str = "quality", *, max_covered: float = 0.2, max_longest: float = 0.1) -> Column:
+    """The verdict on a measured row: its repeats cover ``max_covered`` of the bytes at most, the longest ``max_longest``.
+
+    Both limits lie well below the base rule's half of the words, so they judge texts that it passes. A passage that
+    occurs twice covers twice its length, so the two agree on it.
+    """
     q = F.col(quality)
     return (q["repeat_bytes"] <= q["n_bytes"] * max_covered) & (q["longest_repeat"] <= q["n_bytes"] * max_longest)
 

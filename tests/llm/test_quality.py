@@ -69,3 +69,11 @@ def test_edge_rows(spark):
 def test_query(spark, small):
     out = Q.op1_quality(spark, small).toPandas()
     assert out["doc_id"].is_unique and 0.7 < out["kept"].mean() < 1 and not (out["kept"] & out["base_failed"]).any()
+
+
+def test_repeats_below_the_base_rule_are_rejected(spark):
+    """A quarter of the text repeated passes the base rules and fails the verdict; a short repeat and a clean text stay."""
+    words = [f"w{i * i * 7919 % 100003}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[:60])), (3, " ".join(words + words[:12]))]
+    out = Q.measure(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", Q.base_failed().alias("bad"), Q.passes().alias("good")).collect()
+    assert {r.doc_id: (r.bad, r.good) for r in out} == {1: (False, True), 2: (False, False), 3: (False, True)}
