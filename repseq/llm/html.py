@@ -20,6 +20,7 @@ _TOKEN = re.compile(
     r"|<(?=[a-z])[^>]*(?:>|\Z)",
     re.I | re.S,
 )
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 #: Elements that start and end a line.
@@ -47,7 +48,8 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool], bool]:
     """The page's lines with markup stripped, each line's length for the distribution, whether it may be
     main text, and whether an article is marked.
 
-    A boilerplate element leaves a gap of empty lines as long as the window. Link text does not count towards a length.
+    A boilerplate element leaves a gap of empty lines as long as the window. Link text does not count towards a length; a
+    link that is never closed ends with its block.
     Where ``article`` or ``main`` marks the main text, lines outside count nothing.
     """
     out: list[str] = []
@@ -110,9 +112,11 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool], bool]:
                 skip, nested = tag, 1
                 continue
         if tag in BLOCKS:
+            if closes or (tag in LOOSE and linked):
+                anchors = 0
             end_line()
         elif tag == "a":
-            anchors = 0 if closes else 1
+            anchors = 0 if closes or not _HREF.search(m["attrs"]) else 1
         elif tag in ("br", "td", "th"):
             words.append(" ")
     text_until(len(html))
@@ -141,21 +145,25 @@ def regions(lengths: list[int], surge: int) -> list[tuple[int, int]]:
 
 
 def extract(html: str | None) -> str:
-    """The main text of a page: its lines between surge and dive points.
+    """The main text of a page: all lines of a marked article, else its lines between surge and dive points.
 
-    Within a marked article any text is a surge. Elsewhere a surge takes ``SURGE`` letters outside links, runs of less
-    than a quarter of the largest are left out, and if nothing surges the largest run of lines is the text.
+    Without a mark, runs of lines with only gaps between them are one run, and those that surge (``SURGE`` letters outside
+    links in a window) are the text; if nothing surges, all runs are.
     """
     if not html:
         return ""
     text, lengths, inside, seen = lines(html)
-    found = regions(lengths, 0 if seen else SURGE)
-    if not seen:
-        found = found or regions(lengths, 0)
-        size = [sum(lengths[a:b]) for a, b in found]
-        most = max(size, default=0)
-        found = [r for r, n in zip(found, size, strict=True) if 4 * n >= most]
-    return "\n".join(text[i] for a, b in found for i in range(a, b) if text[i] and inside[i])
+    if seen:
+        return "\n".join(t for t, mark in zip(text, inside, strict=True) if t and mark)
+    joined: list[list[tuple[int, int]]] = []
+    for run in regions(lengths, 0):
+        if joined and not any(text[joined[-1][-1][1] : run[0]]):
+            joined[-1].append(run)
+        else:
+            joined.append([run])
+    total = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+    surging = [g for g in joined if any(max(total[a:b]) > SURGE for a, b in g)]
+    return "\n".join(text[i] for g in surging or joined for a, b in g for i in range(a, b) if text[i])
 
 
 def extract_text(df: DataFrame, html: str = "html", *, out: str = "text") -> DataFrame:

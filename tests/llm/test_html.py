@@ -58,3 +58,22 @@ def test_query_against_the_articles(spark, small):
         inside = re.sub(r"<[^<>]*$", "", pages[r.page_id].partition("<article>")[2].partition("</article>")[0])
         blocks = (" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside))
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+ITEMS = "".join(f"<li><a href='/{i}'>item {i}</a></li>" for i in range(5))
+SHARE = "<div class='share'>share this</div>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>text</p><p><a href='/x'>only a link</a></p></article>", "text\nonly a link"),
+        (f"<article><p>text</p><ul>{ITEMS}</ul></article>", "text\nitem 0\nitem 1\nitem 2\nitem 3\nitem 4"),
+        (f"<p><a name='top'>start</p><p>{LONG}</p><p>end</p>", f"start\n{LONG.strip()}\nend"),
+        (f"<p><a href='/x'>start</p><p>{LONG}</p><p>end</p>", f"start\n{LONG.strip()}\nend"),
+        (f"<h1>Heading</h1>{SHARE}<p>{LONG * 9}</p>{SHARE}<p>the tail</p>", f"Heading\n{(LONG * 9).strip()}\nthe tail"),
+        (f"<p>{LONG * 9}</p><ul>{ITEMS}</ul><p>{LONG}</p>", f"{(LONG * 9).strip()}\nitem 3\nitem 4\n{LONG.strip()}"),
+    ],
+)
+def test_no_text_is_dropped(page, want):
+    assert H.extract(page) == want
