@@ -21,8 +21,6 @@ from repseq.operators.collapse import collapse_duplicates
 from repseq.session import cut_lineage
 
 GERMLINE = "Germline"
-#: Distinct sequences up to which parsimony tries every branch; beyond, each sequence joins its nearest relative.
-EXHAUSTIVE = 60
 
 
 @dataclass
@@ -82,6 +80,13 @@ def _letters(sets: np.ndarray) -> str:
     return "".join(names[int(x)] for x in sets)
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """A node's set from those of its children, and the steps it takes."""
+    both = a & b
+    none = both == 0
+    return np.where(none, a | b, both), int(none.sum())
+
+
 class _Tree:
     """A rooted binary tree under the germline, by Fitch parsimony."""
 
@@ -114,30 +119,36 @@ class _Tree:
         if self.top is None:
             self.top = name
             return
+        state, steps, above = {}, {}, {}
+        for x in self._post():
+            state[x] = self.sets.get(x)
+            if x in self.kids:
+                a, b = self.kids[x]
+                state[x], steps[x] = _join(state[a], state[b])
+                above[a], above[b] = (x, b), (x, a)
         best = None
         for x in self._post():
-            undo = self._insert(x, name, inner)
-            cost = self.cost()
-            if best is None or cost < best[0]:
-                best = (cost, x)
-            undo()
+            now, more = _join(state[x], sets)  # only the nodes above the branch change, up to one that stays as it was
+            at = x
+            while at in above:
+                at, other = above[at]
+                now, n = _join(now, state[other])
+                more += n - steps[at]
+                if np.array_equal(now, state[at]):
+                    break
+            else:
+                more += int(((now & self.germline) == 0).sum()) - int(((state[self.top] & self.germline) == 0).sum())
+            if best is None or more < best[0]:
+                best = (more, x)
         self._insert(best[1], name, inner)
 
-    def _insert(self, x: str, name: str, inner: str):
+    def _insert(self, x: str, name: str, inner: str) -> None:
         parent = next((p for p, k in self.kids.items() if x in k), None)
-        before = list(self.kids[parent]) if parent else None
         self.kids[inner] = [x, name]
         if parent:
-            self.kids[parent] = [inner if k == x else k for k in before]
-        top, self.top = self.top, self.top if parent else inner
-
-        def undo():
-            del self.kids[inner]
-            if parent:
-                self.kids[parent] = before
-            self.top = top
-
-        return undo
+            self.kids[parent] = [inner if k == x else k for k in self.kids[parent]]
+        else:
+            self.top = inner
 
     def resolve(self) -> tuple[list[tuple[str, str]], dict[str, str]]:
         """Edges from the germline down, and the sequences of the inner nodes."""
@@ -164,12 +175,6 @@ class _Tree:
 def parsimony(germline: str, sequences: dict[str, str]) -> tuple[list[tuple[str, str]], dict[str, str]]:
     """Edges ``(parent, child)`` and the sequences of inferred nodes, by stepwise addition with the germline as outgroup."""
     names = sorted(sequences, key=lambda n: (_distance(germline, sequences[n]), n))
-    if len(names) > EXHAUSTIVE:
-        placed, edges = [(GERMLINE, germline)], []
-        for n in names:
-            edges.append((min(placed, key=lambda p: _distance(p[1], sequences[n]))[0], n))
-            placed.append((n, sequences[n]))
-        return edges, {}
     tree = _Tree(_sets(germline))
     for i, n in enumerate(names):
         tree.add(n, _sets(sequences[n]), f"Inferred{i}")

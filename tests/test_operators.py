@@ -208,3 +208,30 @@ def test_topology(spark):
         assert sorted(r.iso for r in shuffled.where(f"iter = {i}").collect()) == want
     tests, perms = topology.edge_test(nodes, edges, "iso", nperm=20)
     assert all(r.pvalue is None or 0 <= r.pvalue <= 1 for r in tests.collect()) and perms.agg(F.sum("count")).first()[0] == 20 * 5
+
+
+def test_parsimony_of_a_large_clone():
+    """Eighty sequences get inferred ancestors, and every one is placed where the whole tree is cheapest."""
+    import numpy as np
+
+    from repseq.operators.lineage import _sets, _Tree
+
+    rng = np.random.default_rng(3)
+    germline = "".join(rng.choice(list("ACGT"), 40))
+    seqs = {}
+    for i in range(80):
+        base = list(germline if not i else seqs[f"s{rng.integers(i):02}"])
+        base[rng.integers(40)] = rng.choice(list("ACGT"))
+        seqs[f"s{i:02}"] = "".join(base)
+    edges, inferred = parsimony(germline, seqs)
+    assert len(inferred) == 79 and {c for _, c in edges} == seqs.keys() | inferred.keys()
+    tree = _Tree(_sets(germline))
+    for i, n in enumerate(list(seqs)[:12]):
+        every = []
+        for x in tree._post() if tree.top else ():
+            other = _Tree(tree.germline)
+            other.kids, other.sets, other.top = {k: list(v) for k, v in tree.kids.items()}, tree.sets | {n: _sets(seqs[n])}, tree.top
+            other._insert(x, n, f"Inferred{i}")
+            every.append(other.cost())
+        tree.add(n, _sets(seqs[n]), f"Inferred{i}")
+        assert tree.cost() == min(every, default=tree.cost())
