@@ -5,15 +5,26 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set a local one only where none is configured (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. One is made only where driver and executors
+    are one process; elsewhere a missing setting is an error, since parts would be scattered over machines."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="repseq-checkpoint-"))
+    return configured or sc._jsc.sc().getCheckpointDir().get()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's checkpoint folder."""
+    shared_dir(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -31,3 +42,19 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan that gives fewer tasks than there are cores, dealt to all cores; larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Keys that hold at least this share of the rows are joined by broadcast: there are a thousand of them at most.
+HOT = 1 / 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, which has one row per ``key`` and, in ``rows``, how many rows of ``left`` have that key.
+
+    The keys with ``HOT`` of all ``total`` rows or more, a thousand at most, are broadcast, so their rows stay where they
+    are; only the others are shuffled. ``rows`` is dropped.
+    """
+    hot = right.where(F.col(rows) >= total * HOT).drop(rows)
+    rest = right.where(F.col(rows) < total * HOT).drop(rows)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
