@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repseq.session import spread
+
 #: Fixed by the query contracts: a word is a run of characters other than space and \t\n\v\f\r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work far larger than reading it: a scan of fewer tasks than cores is dealt to all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def fold(key: str | Column, folds: int) -> Column:
     """crc32 of the key's decimal text, modulo ``folds``; NULL keys count as the empty text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -7,27 +7,34 @@ the same lattice (so no segmentation is ever chosen). A text's log-likelihood is
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repseq.llm._common import fold, rows, spare, table
+from repseq.llm._common import dealt, fold, rows, spare, table
+from repseq.session import cut_lineage, tasks
 
-#: Runs of letters; longer runs are cut, so that a lattice has a bounded length on any text.
-LETTERS = re.compile(r"[^\W\d_]{1,32}")
+#: Words: runs of letters with their marks. Digits and other numerals are no letters.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_PIECE = regex.compile(r"[\p{L}\p{M}]+")
 MARK = "▁"
 #: Probability of a character that no piece covers, the same in every language.
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
 #: Training documents per language: the classifier is fitted on a bounded sample of the labelled rows.
 SAMPLE = 400
-_CHUNK = 2_000_000
+#: A text is foreign to a language if a letter costs so many times what it costs in that language's training texts.
+FOREIGN = 2.5
+#: Words up to so many letters are summed many at once; longer ones one by one, in blocks, with the same result.
+SHORT = 32
+_CHUNK, _FLOATS, _BLOCK = 2_000_000, 2_000_000, 16
 
 
 def default_path() -> str:
@@ -42,7 +49,13 @@ def letter_pieces(path: str) -> list[str]:
 
     sp = SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    return sorted({p for p in pieces if p == MARK or (p.removeprefix(MARK).isalpha() and p == p.lower())})
+    return sorted({p for p in pieces if p == MARK or (_PIECE.fullmatch(p.removeprefix(MARK)) and p == p.lower())})
+
+
+@lru_cache(maxsize=2)
+def lattice(path: str) -> Lattice:
+    """The lattice over a vocabulary file, built once in a process."""
+    return Lattice(letter_pieces(path))
 
 
 class Lattice:
@@ -84,6 +97,7 @@ class Lattice:
             wrong = wrong[(found[wrong] != none) & (self.keys[found[wrong]] != h[wrong])]
         return found
 
+    # Many short words -----------------------------------------------------------------------------------------------
     def steps(self, words: list[str]):
         """Words sorted by length (longest first), and for each span ``(i, j)`` the rows and pieces that cover it."""
         marked = [MARK + w for w in words]
@@ -111,12 +125,23 @@ class Lattice:
 
     def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """Log-probability of each word in each language; ``prob`` is pieces by languages."""
-        order, size, spans = self.steps(words)
-        alpha = self._alpha(size, spans, prob)
         out = np.empty((len(words), prob.shape[1]))
-        out[order] = np.log(alpha[np.arange(len(words)), size])
+        short = sorted((i for i, w in enumerate(words) if len(w) <= SHORT), key=lambda i: len(words[i]))
+        step = self._many(prob)
+        for a in range(0, len(short), step):
+            part = short[a : a + step]
+            order, size, spans = self.steps([words[i] for i in part])
+            out[np.array(part)[order]] = np.log(self._alpha(size, spans, prob)[np.arange(len(size)), size])
+        padded = np.vstack([prob, np.zeros((1, prob.shape[1]))])
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                out[i] = self._one(w, padded)
         return out
 
+    def _many(self, prob: np.ndarray) -> int:
+        """How many short words are summed at once."""
+        return max(64, _FLOATS // ((SHORT + 2) * prob.shape[1]))
+
     def _alpha(self, size, spans, prob):
         alpha = np.zeros((len(size), int(size[0]) + 1, prob.shape[1]))
         alpha[:, 0] = 1
@@ -124,88 +149,215 @@ class Lattice:
             alpha[at, j] += alpha[at, i] * (UNKNOWN if piece is None else prob[piece])
         return alpha
 
-    def fit(self, words: list[str], counts: np.ndarray, rounds: int = 5, add: float = 0.02) -> np.ndarray:
-        """Piece probabilities by language from word counts (words by languages), by expectation-maximisation."""
-        order, size, spans = self.steps(words)
-        counts, n = counts[order], len(self.pieces)
-        prob = np.full((n, counts.shape[1]), 1 / n)
-        for _ in range(rounds):
+    def expect(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        """Expected piece counts by language, of words with ``counts`` (words by languages)."""
+        out = np.zeros_like(prob)
+        short = sorted((i for i, w in enumerate(words) if len(w) <= SHORT), key=lambda i: len(words[i]))
+        step = self._many(prob)
+        for a in range(0, len(short), step):
+            part = np.array(short[a : a + step])
+            order, size, spans = self.steps([words[i] for i in part])
             alpha = self._alpha(size, spans, prob)
             beta = np.zeros_like(alpha)
             beta[np.arange(len(size)), size] = 1
             for i, j, at, piece in reversed(spans):
                 beta[at, i] += beta[at, j] * (UNKNOWN if piece is None else prob[piece])
-            weight = counts / alpha[np.arange(len(size)), size]
-            expected = np.zeros_like(prob)
+            weight = counts[part[order]] / alpha[np.arange(len(size)), size]
             for i, j, at, piece in spans:
                 if piece is not None:
-                    part = alpha[at, i] * prob[piece] * beta[at, j] * weight[at]
+                    each = alpha[at, i] * prob[piece] * beta[at, j] * weight[at]
                     for k in range(prob.shape[1]):
-                        expected[:, k] += np.bincount(piece, part[:, k], n)
-            prob = (expected + add) / (expected.sum(0) + add * n)
-        return prob
+                        out[:, k] += np.bincount(piece, each[:, k], len(prob))
+        padded = np.vstack([prob, np.zeros((1, prob.shape[1]))])
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                self._expect_one(w, counts[i], padded, out)
+        return out
+
+    # One long word --------------------------------------------------------------------------------------------------
+    def _codes(self, word: str) -> np.ndarray:
+        return np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+    def _ending(self, codes: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Pieces that end at positions ``a + 1`` to ``b``: positions by lengths."""
+        low = max(0, a - self.longest + 1)
+        part, power = codes[low:b], np.uint64(1)
+        h, found = np.zeros(len(part), np.uint64), np.full((len(part), self.longest), len(self.pieces), np.int32)
+        with np.errstate(over="ignore"):
+            for d in range(min(self.longest, len(part))):
+                h[d:] += part[: len(part) - d] * power
+                found[d:, d] = self._find(h[d:])
+                power *= self._BASE
+        return found[a - low :]
+
+    def _chances(self, ids: np.ndarray, padded: np.ndarray) -> np.ndarray:
+        """Probabilities of those pieces; a lone character that is no piece has ``UNKNOWN``."""
+        p = padded[ids]
+        p[ids[:, 0] == len(self.pieces), 0] = UNKNOWN
+        return p
+
+    def _run(self, n: int, chances: Callable[[int, int], np.ndarray], languages: int, keep: bool):
+        """The sums at positions 0 to ``n`` with the logarithms of their scales (only the last ones unless ``keep``).
+
+        ``chances(a, b)`` gives, for positions ``a + 1`` to ``b``, the weights of the steps that end there, by length.
+        Sums are scaled anew every few positions, so no word is too long for them; the window holds ``longest`` of them.
+        """
+        window, scale = np.zeros((self.longest, languages)), np.zeros(languages)
+        window[-1] = 1
+        values = [window[-1:].copy()] if keep else []
+        scales = [scale[None].copy()] if keep else []
+        step = max(_BLOCK, _FLOATS // (self.longest * languages) // _BLOCK * _BLOCK)
+        for a in range(0, n, step):
+            part = chances(a, min(n, a + step))[:, ::-1]
+            for c in range(0, len(part), _BLOCK):
+                block = part[c : c + _BLOCK]
+                buffer = np.concatenate([window, np.zeros((len(block), languages))])
+                for t in range(len(block)):
+                    buffer[self.longest + t] = (block[t] * buffer[t : t + self.longest]).sum(0)
+                if keep:
+                    values.append(buffer[self.longest :].copy())
+                    scales.append(np.repeat(scale[None], len(block), 0))
+                window = buffer[-self.longest :]
+                top = window.max(0)
+                window, scale = window / top, scale + np.log(top)
+        if keep:
+            return np.concatenate(values), np.concatenate(scales)
+        return window[-1], scale
+
+    def _one(self, word: str, padded: np.ndarray) -> np.ndarray:
+        codes = self._codes(word)
+        last, scale = self._run(len(codes), lambda a, b: self._chances(self._ending(codes, a, b), padded), padded.shape[1], False)
+        return np.log(last) + scale
+
+    def _expect_one(self, word: str, count: np.ndarray, padded: np.ndarray, out: np.ndarray) -> None:
+        codes = self._codes(word)
+        n, many = len(codes), padded.shape[1]
+
+        def forwards(a, b):
+            return self._chances(self._ending(codes, a, b), padded)
+
+        def backwards(a, b):
+            """The same steps by where they start, from the word's end on."""
+            low, high = n - b, n - a
+            p = forwards(low, min(n, high + self.longest - 1))
+            turned = np.zeros((high - low, self.longest, many))
+            for d in range(self.longest):
+                have = p[d : d + high - low, d]
+                turned[: len(have), d] = have
+            return turned[::-1]
+
+        alpha, up = self._run(n, forwards, many, True)
+        beta, down = (x[::-1] for x in self._run(n, backwards, many, True))
+        whole = np.log(alpha[n]) + up[n]
+        step = max(1, _FLOATS // (self.longest * many))
+        for a in range(0, n, step):
+            b = min(n, a + step)
+            ids = self._ending(codes, a, b)
+            for d in range(self.longest):
+                ends = np.flatnonzero(ids[:, d] != len(self.pieces))
+                e, piece = ends + a + 1, ids[ends, d]
+                s = e - d - 1
+                each = alpha[s] * padded[piece] * beta[e] * np.exp(up[s] + down[e] - whole) * count
+                for k in range(many):
+                    out[:, k] += np.bincount(piece, each[:, k], len(out))
+
+    def settle(self, expected: np.ndarray, add: float = 0.02) -> np.ndarray:
+        """Piece probabilities from expected counts."""
+        return (expected + add) / (expected.sum(0) + add * len(expected))
+
+    def even(self, languages: int) -> np.ndarray:
+        return np.full((len(self.pieces), languages), 1 / len(self.pieces))
 
 
 class Model:
-    """Languages, and their piece probabilities over the vocabulary."""
+    """Languages, their piece probabilities over the vocabulary, and the least log-likelihood a letter that is usual."""
 
-    def __init__(self, path: str, languages: list[str], prob: np.ndarray, cache: int = 200_000):
+    def __init__(self, path: str, languages: list[str], prob: np.ndarray, floor: np.ndarray | None = None, cache: int = 200_000):
         self.path, self.languages, self.prob, self.cache = path, languages, prob, cache
+        self.floor = np.full(len(languages), -np.inf) if floor is None else floor
         self._ready = False
 
     def __getstate__(self):
-        return self.path, self.languages, self.prob, self.cache
+        return self.path, self.languages, self.prob, self.floor, self.cache
 
     def __setstate__(self, state):
-        self.path, self.languages, self.prob, self.cache = state
+        self.path, self.languages, self.prob, self.floor, self.cache = state
         self._ready = False
 
     def _start(self):
         if not self._ready:
-            self.lattice, self.seen, self.table, self._ready = Lattice(letter_pieces(self.path)), {}, np.empty((0, len(self.languages))), True
+            self.seen, self.table, self._ready = {}, np.empty((0, len(self.languages) + 1)), True
 
     def _learn(self, words: set[str]) -> None:
-        """Scores the words that the cache lacks; the cache is emptied first if it would grow beyond its bound."""
-        new = [w for w in words if w not in self.seen]
+        """Scores the short words that the cache lacks; the cache is emptied first if it would grow beyond its bound."""
+        new = [w for w in words if w not in self.seen and len(w) <= SHORT]
         if new and len(self.seen) + len(new) > self.cache:
-            self.seen, self.table, new = {}, np.empty((0, len(self.languages))), list(words)
+            self.seen, self.table, new = {}, np.empty((0, len(self.languages) + 1)), [w for w in words if len(w) <= SHORT]
         if new:
-            new.sort(key=len)
-            found = [self.lattice.forward(new[i : i + 20_000], self.prob) for i in range(0, len(new), 20_000)]
+            self.table = np.concatenate([self.table, self._rows(new)])
             self.seen |= {w: len(self.seen) + i for i, w in enumerate(new)}
-            self.table = np.concatenate([self.table, *found])
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """Language and its posterior (equal priors) for each text; ``und`` and 0 for a text without letters."""
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of words, with their lengths as the last column."""
+        return np.column_stack([lattice(self.path).forward(words, self.prob), [len(w) for w in words]])
+
+    def likelihoods(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+        """Log-likelihoods of each text in the languages, and its number of letters."""
         self._start()
         words = [LETTERS.findall(t.lower()) for t in texts]
-        if self.languages:
-            self._learn(set().union(*words))
-        out = []
+        self._learn(set().union(*words))
         for w in words:
-            if not w or not self.languages:
-                out.append((UNDETERMINED, 0.0))
+            at = list(map(self.seen.get, w))
+            if None in at:
+                far = self._rows([x for x, i in zip(w, at, strict=True) if i is None]).sum(0)
+                at = [i for i in at if i is not None]
+            else:
+                far = 0.0
+            whole = self.table[np.array(at, np.int64)].sum(0) + far
+            yield whole[:-1], int(whole[-1])
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Language, its posterior (equal priors), and how far the log-likelihood a letter lies above the usual least.
+
+        ``und``, 0 and 0 for a text without letters.
+        """
+        if not self.languages:
+            return [(UNDETERMINED, 0.0, 0.0)] * len(texts)
+        out = []
+        for ll, letters in self.likelihoods(texts):
+            if not letters:
+                out.append((UNDETERMINED, 0.0, 0.0))
                 continue
-            ll = self.table[np.fromiter(map(self.seen.__getitem__, w), np.int64, len(w))].sum(0)
             best = int(ll.argmax())
-            out.append((self.languages[best], float(1 / np.exp(ll - ll[best]).sum())))
+            out.append((self.languages[best], float(1 / np.exp(ll - ll[best]).sum()), float(ll[best] / letters - self.floor[best])))
         return out
 
 
-def train(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", path: str | None = None, sample: int = SAMPLE) -> Model:
-    """Fits a model on up to ``sample`` rows of each language (those with the smallest seeded hash of ``key``).
+def sample_rows(df: DataFrame, by: str, hashed: str, size: int) -> DataFrame:
+    """Up to ``size`` rows of each ``by`` value: distinct ``hashed`` values, the smallest ones.
 
-    Rows with a NULL text or language teach nothing. Without any labelled row the model knows no language and calls
-    every text ``und``. The hash bounds are found on (language, hash) alone, so no text outside the sample is shuffled.
+    Rows are counted by value first, and only the share of them that holds four times ``size`` on average is ranked; so no
+    task meets all rows of a value, and equal rows count once.
     """
-    path = path or default_path()
-    df = df.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.lit(7), F.col(key)).alias("h")).where("t IS NOT NULL AND l IS NOT NULL")
-    first = W.partitionBy("l").orderBy("h")
-    bounds = df.select("l", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).groupBy("l").agg(F.max("h").alias("h")).collect()
-    if not bounds:
-        return Model(path, [], np.empty((0, 0)))
-    bound = F.create_map(*(F.lit(x) for b in bounds for x in (b.l, b.h)))
-    chosen = df.where(F.col("h") <= bound[F.col("l")]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample)
+    many = {r[0]: r["count"] for r in df.groupBy(by).count().collect()}
+    if not many:
+        return df.limit(0)
+    share = F.create_map(*(F.lit(x) for v, n in many.items() for x in (v, min(1.0, 4 * size / n))))
+    low = df.where(F.shiftrightunsigned(hashed, 11) / float(1 << 53) < share[F.col(by)]).dropDuplicates([by, hashed])
+    (rank,) = spare(df, "_rank")
+    return low.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy(hashed))).where(F.col(rank) <= size).drop(rank)
+
+
+def train(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", path: str | None = None, sample: int = SAMPLE, rounds: int = 5) -> Model:
+    """Fits a model on up to ``sample`` rows of each language (those with the smallest seeded hash of key and text).
+
+    Rows with a NULL text or language teach nothing. Without any labelled row, or any letter in them, the model knows no
+    language and calls every text ``und``. Words are counted and their expected piece counts summed on the executors; only
+    the piece probabilities (vocabulary by languages) come to the driver. Words of any length are summed whole.
+    """
+    path, spark = path or default_path(), df.sparkSession
+    df = df.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.lit(7), F.col(key), F.col(text)).alias("h")).where("t IS NOT NULL AND l IS NOT NULL")
+    chosen = cut_lineage(sample_rows(df, "l", "h", sample).select("t", "l").repartition(tasks(spark)))
 
     def count(batches):
         for b in batches:
@@ -213,42 +365,80 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
                 n = Counter(LETTERS.findall(t.lower()))
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(n)), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["l", "w", "n"])
 
-    total = chosen.select("t", "l").mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(b.l for b in bounds)
-    words = sorted(set(total["w"].to_pylist()))
-    if not words:
+    total = chosen.mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    words = cut_lineage(total.groupBy("w").agg(F.collect_list(F.struct("l", "n")).alias("c")).repartition(tasks(spark), "w"))
+    languages = sorted(r.l for r in words.select(F.explode("c.l").alias("l")).distinct().collect())
+    if not languages:
         return Model(path, [], np.empty((0, 0)))
-    place, column = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((len(words), len(languages)))
-    counts[[place[w] for w in total["w"].to_pylist()], [column[x] for x in total["l"].to_pylist()]] = total["n"].to_numpy()
-    return Model(path, languages, Lattice(letter_pieces(path)).fit(words, counts))
+    column = {x: i for i, x in enumerate(languages)}
+
+    def expected(prob):
+        shared = spark.sparkContext.broadcast(prob)
+
+        def step(batches):
+            out, sums = lattice(path), np.zeros_like(shared.value)
+            for b in batches:
+                counts = np.zeros((b.num_rows, len(languages)))
+                for i, c in enumerate(b.column("c").to_pylist()):
+                    for x in c:
+                        counts[i, column[x["l"]]] = x["n"]
+                sums += out.expect(b.column("w").to_pylist(), counts, shared.value)
+            p, k = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(sums[p, k])], ["p", "k", "x"])
+
+        found = words.mapInArrow(step, "p int, k int, x double").groupBy("p", "k").agg(F.sum("x").alias("x")).toArrow()
+        shared.destroy()
+        sums = np.zeros_like(prob)
+        sums[found["p"].to_numpy(), found["k"].to_numpy()] = found["x"].to_numpy()
+        return sums
+
+    own = lattice(path)
+    prob = own.even(len(languages))
+    for _ in range(rounds):
+        prob = own.settle(expected(prob))
+    shared = spark.sparkContext.broadcast(Model(path, languages, prob))
+
+    def rate(batches):
+        for b in batches:
+            for part in _chunks(rows(b, "t", "l"), lambda r: len(r[0])):
+                for (ll, letters), (_, language) in zip(shared.value.likelihoods([t for t, _ in part]), part, strict=True):
+                    if letters:
+                        yield pa.RecordBatch.from_arrays([pa.array([column[language]], pa.int32()), pa.array([ll[column[language]] / letters])], ["k", "x"])
+
+    usual = chosen.mapInArrow(rate, "k int, x double").groupBy("k").agg(F.avg("x").alias("m")).collect()
+    floor = np.full(len(languages), -np.inf)
+    for r in usual:
+        floor[r.k] = FOREIGN * r.m
+    return Model(path, languages, prob, floor)
 
 
-def _chunks(values: Iterable[str | None]):
-    """Lists of texts of bounded total length."""
-    part, size = [], 0
+def _chunks(values: Iterable, size: Callable[[object], int]):
+    """Lists of values of bounded total size."""
+    part, total = [], 0
     for v in values:
-        part.append(v or "")
-        size += len(part[-1])
-        if size > _CHUNK:
+        part.append(v)
+        total += size(v)
+        if total > _CHUNK:
             yield part
-            part, size = [], 0
+            part, total = [], 0
     if part:
         yield part
 
 
 def identify(df: DataFrame, model: Model, *, text: str = "text", out: str = "language") -> DataFrame:
-    """Adds the struct column ``out`` with ``lang`` and ``score`` (0 to 1) to every row; only the text is looked at.
+    """Adds the struct column ``out`` to every row: ``lang``, ``score`` (its posterior, 0 to 1), and ``fit``: how far the
+    log-likelihood a letter lies above what is least usual for that language. Only the text is looked at.
 
     NULL texts and texts without a letter get ``und`` and 0. Rows are not moved. A column named like ``out`` is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang: string, score: double>")
+    @F.pandas_udf("struct<lang: string, score: double, fit: double>")
     def predict(texts):
         import pandas as pd
 
-        return pd.DataFrame([x for part in _chunks(texts) for x in shared.value.predict(part)], columns=["lang", "score"])
+        whole = ("" if t is None else t for t in texts)
+        return pd.DataFrame([x for part in _chunks(whole, len) for x in shared.value.predict(part)], columns=["lang", "score", "fit"])
 
     return df.drop(out).withColumn(out, predict(F.col(text)))
 
@@ -257,12 +447,18 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, by a model that learns from two folds of three."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(fold("doc_id", 3) != 1))
-    found = identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+    found = identify(dealt(spark, sf_dir, "documents", "doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.fit").alias("fit"))
 
 
 def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents whose language is found with a posterior of ``least`` or more stay."""
+    """Pipeline stage: documents whose language is found with a posterior of ``least`` or more, and whose letters are about
+    as likely in it as those of its training documents, stay, each repeated row as often as it comes.
+
+    NULL and empty texts and those without letters go; a NULL in another column changes nothing; no rows give no rows;
+    where no document has a language, none can be found and all go. Columns stay as they are, whatever their names.
+    """
     (name,) = spare(docs, "language")
     found = identify(docs, train(docs.where(fold("doc_id", 3) != 1)), out=name)
-    return found.where((F.col(name)["lang"] != UNDETERMINED) & (F.col(name)["score"] >= least)).drop(name)
+    language = F.col(name)
+    return found.where((language["lang"] != UNDETERMINED) & (language["score"] >= least) & (language["fit"] >= 0)).drop(name)
