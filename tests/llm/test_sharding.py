@@ -49,3 +49,34 @@ def test_query(spark, small):
     assert all(zlib.crc32(texts[r.doc_id]) == r.text_crc32 and len(texts[r.doc_id]) + 16 == r.size for r in got.itertuples())
     nulls = out.select(F.count("grown_shard"), F.count_if(F.col("law") != "rows")).first()
     assert tuple(nulls) == (0, 0)
+
+
+def test_query_against_plain_rank_and_cut(spark, small):
+    """Shard and slot of every document by sorting lists: ranks within sources, then all by fractional rank, then a cut."""
+    out = H.op8_sharding(spark, small).toPandas()
+    hashed = F.xxhash64(F.lit(42).cast("long"), "doc_id", "source", "size", "text_crc32")
+    rows = [tuple(r) for r in spark.createDataFrame(out[["doc_id", "source", "size", "text_crc32"]], "doc_id long, source string, size long, text_crc32 long").select("doc_id", "source", hashed.alias("h")).collect()]
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    cell = lambda h: ((h % 2**64) >> 16) % 4096
+    ranked = []
+    for source, group in by.items():
+        for rank, r in enumerate(sorted(group, key=lambda r: (cell(r[2]), r[2], r[0]))):
+            ranked.append(((rank + 0.5) / len(group), "=" + source if source is not None else "", rank, r[0]))
+    want = {}
+    n = len(ranked)
+    for place, (_, _, _, doc) in enumerate(sorted(ranked)):
+        shard = place * 40 // n
+        want[doc] = (shard, place - (shard * n + 39) // 40)
+    assert {r.doc_id: (r.shard, r.slot) for r in out.itertuples()} == want
+
+
+def test_columns_of_any_name_and_hot_keys(spark):
+    rows = [(None if i % 3 == 0 else 7, "hot", i, "b", "c", i % 5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, _before int, _row string, _n string, _il_hash int")
+    out = H.interleave(df, 8, cells=64)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    got = out.toPandas()
+    check(got, 8)
+    assert sorted(got["_before"]) == list(range(2000)) and set(got["_row"]) == {"b"}
