@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repseq.llm._common import spare, table
@@ -34,7 +33,13 @@ def _shares(total: dict[str, float], target: Target) -> dict[str, float]:
     return {v: x / whole for v, x in want.items()} if whole else {}
 
 
-def rake(cells: np.ndarray, tokens: np.ndarray, targets: Sequence[dict], rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+#: A margin of so many values at most is broadcast to the cells.
+VALUES = 100_000
+#: Fitting ends when no margin is off by more than this share of the whole, or after so many rounds; the same for any number of cells.
+TOLERANCE, ROUNDS = 1e-10, 500
+
+
+def rake(cells: np.ndarray, tokens: np.ndarray, targets: Sequence[dict], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights of the cells (rows of value numbers, one column a margin) whose margins are ``targets`` times all tokens.
 
     Each round scales the weights to every margin in turn; cells without tokens stay 0. It ends when no margin is off by
@@ -53,29 +58,48 @@ def rake(cells: np.ndarray, tokens: np.ndarray, targets: Sequence[dict], rounds:
     return weight
 
 
-def _rake_frames(cells: DataFrame, margins: list[str], shares: list[DataFrame], whole: float, rounds: int = 40) -> DataFrame:
-    """The same fitting where the cells are many: every margin is a window sum, and rounds are cut by checkpoints."""
-    work = cells.withColumn("w", F.col("tokens").cast("double"))
-    for m, s in zip(margins, shares, strict=True):
-        work = work.join(s.select(m, F.col("share").alias(f"t_{m}")), m, "left").fillna(0.0, [f"t_{m}"])
-    for r in range(rounds):
+def _rake_frames(cells: DataFrame, margins: list[str], shares: list[DataFrame], whole: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same fitting, with the same rule to end, where the cells are many.
+
+    Each margin's values keep one factor; a margin's sums are aggregated over the cells, with the other margins' factors joined.
+    """
+    values = {m: cut_lineage(cells.select(m).distinct().join(s.select(m, "share"), m, "left").select(m, (F.coalesce("share", F.lit(0.0)) * whole).alias("goal"), F.lit(1.0).alias("a"))) for m, s in zip(margins, shares, strict=True)}
+    few = {m: v.count() <= VALUES for m, v in values.items()}
+
+    def weighed(skip: str | None = None) -> DataFrame:
+        """The cells with their tokens times the factors of the margins but ``skip``."""
+        work = cells.withColumn("w", F.col("tokens").cast("double"))
+        for m in margins:
+            if m != skip:
+                one = values[m].select(m, F.col("a").alias("one"))
+                work = work.join(F.broadcast(one) if few[m] else one, m).withColumn("w", F.col("w") * F.col("one")).drop("one")
+        return work
+
+    for _ in range(rounds):
+        worst = 0.0
         for m in margins:
-            now = F.sum("w").over(W.partitionBy(m))
-            work = work.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"t_{m}") * whole / now).otherwise(0.0))
-        if r % 5 == 4:
-            work = cut_lineage(work)
-    return work.withColumn("factor", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)).select(*margins, "factor")
+            rest = weighed(skip=m).groupBy(m).agg(F.sum("w").alias("rest"))
+            now = cut_lineage(values[m].join(rest, m).select(m, "goal", (F.col("a") * F.col("rest")).alias("now"), F.when(F.col("a") * F.col("rest") > 0, F.col("goal") / F.col("rest")).otherwise(0.0).alias("a")))
+            worst = max(worst, now.agg(F.max(F.abs(F.col("now") - F.col("goal")))).first()[0] or 0.0)
+            values[m] = now.select(m, "goal", "a")
+        if worst <= tolerance * whole:
+            break
+    return weighed().withColumn("factor", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)).select(*margins, "factor")
+
 
+def _scale(kept: Callable[[float], float], want: float | None, top: float, least: float) -> float:
+    """The multiplier c with which min(1, c * factor) keeps ``want`` tokens; without one, the largest that needs no cut at 1.
 
-def _scale(tokens: np.ndarray, factor: np.ndarray, budget: float | None) -> float:
-    """The multiplier c with which min(1, c * factor) keeps ``budget`` of all tokens; without one, the largest that needs no cut at 1."""
-    top = factor.max(initial=0.0)
-    if budget is None or top == 0:
+    ``kept`` gives the tokens that a multiplier keeps, ``top`` and ``least`` are the largest and the least positive factor.
+    """
+    if want is None or not top:
         return 1 / top if top else 0.0
-    want, low, high = budget * tokens.sum(), 0.0, 1 / factor[factor > 0].min()
-    for _ in range(200):
+    low, high = 0.0, 1 / least
+    while high - low > 1e-12 * high:
         mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * factor)).sum() < want else (low, mid)
+        if mid in (low, high):
+            break
+        low, high = (mid, high) if kept(mid) < want else (low, mid)
     return high
 
 
@@ -92,7 +116,7 @@ def mix(
     probabilities are cut at 1 (the margins are then met as far as whole documents allow).
 
     NULL is a value of its own; values that a target does not name get share 0; NULL token counts are 0. Rows with equal
-    keys share a draw. An empty table stays empty. Columns named like a result are replaced.
+    keys share a draw; a row with a NULL key draws by its other columns. An empty table stays empty. Columns named like a result are replaced.
 
     Two passes and no shuffle of rows: token sums per cell are aggregated, and factors come back by a join with the
     cells, broadcast only if they are ``SMALL`` at most.
@@ -114,7 +138,9 @@ def mix(
             shares.append({place[v]: x for v, x in want.items()})
         w = rake(np.column_stack(number), have, shares) if len(t) else have
         factor = np.divide(w, have, out=np.zeros_like(have), where=have > 0)
-        t["factor"], c = factor, _scale(have, factor, budget)
+        t["factor"] = factor
+        goal = None if budget is None else budget * have.sum()
+        c = _scale(lambda x: (have * np.minimum(1, x * factor)).sum(), goal, factor.max(initial=0.0), factor[factor > 0].min(initial=np.inf))
         factors = F.broadcast(df.sparkSession.createDataFrame(t[[*margins, "factor"]], ", ".join([*(f"{m} string" for m in margins), "factor double"])))
     else:
         shares = []
@@ -125,22 +151,18 @@ def mix(
                 s = s.join(df.sparkSession.createDataFrame(given, f"{m} string, x double"), m)
             else:
                 s = s.withColumn("x", F.pow("n", F.lit(float(target))))
-            shares.append(s.withColumn("share", F.col("x") / s.agg(F.sum("x")).first()[0]))
-        whole = cells.agg(F.sum("tokens")).first()[0]
+            shares.append(cut_lineage(s.withColumn("share", F.col("x") / s.agg(F.sum("x")).first()[0])))
+        whole = cells.agg(F.sum("tokens")).first()[0] or 0.0
         factors = cut_lineage(_rake_frames(cells, margins, shares, whole))
-        top = factors.agg(F.max("factor")).first()[0]
-        c = 1 / top if top else 0.0
-        if budget is not None and top:
-            both, high = cut_lineage(factors.join(cells, margins)), 1 / factors.where("factor > 0").agg(F.min("factor")).first()[0]
-            low = 0.0
-            for _ in range(40):
-                mid = (low + high) / 2
-                got = both.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * mid))).first()[0]
-                low, high = (mid, high) if got < budget * whole else (low, mid)
-            c = high
+        both = cut_lineage(factors.join(cells, margins))
+        top, least = factors.agg(F.max("factor"), F.min(F.when(F.col("factor") > 0, F.col("factor")))).first()
+        kept = lambda x: both.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * x))).first()[0]
+        c = _scale(kept, None if budget is None else budget * whole, top or 0.0, least or np.inf)
     out = marked.join(factors.withColumnRenamed("factor", factor_name), margins, "left")
     factor = F.coalesce(F.col(factor_name), F.lit(0.0))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / float(1 << 53)
+    rest = [F.col(x) for x in df.columns if x != key and df.schema[x].dataType.typeName() not in ("map", "variant")]
+    hashed = F.when(F.col(key).isNotNull(), F.xxhash64(F.lit(seed), F.col(key))).otherwise(F.xxhash64(F.lit(seed), *rest))
+    draw = F.shiftrightunsigned(hashed, 11) / float(1 << 53)
     out = out.withColumns({weight: n * factor, probability: F.least(F.lit(1.0), factor * c)})
     return out.withColumn(sampled, draw < F.col(probability)).drop(*margins, factor_name)
 
@@ -166,7 +188,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, budget: float = 0.9) -> DataFrame:
-    """Pipeline stage: the documents that the draw keeps, nine tenths of the tokens."""
+    """Pipeline stage: the documents that the draw keeps, nine tenths of the tokens, with their columns unchanged.
+
+    NULL source or language is a value of its own; NULL and empty texts have no tokens and share the topic of the empty
+    word; rows with equal ids share a draw; no rows give no rows; columns named like a result are not touched.
+    """
     count, topic, weight, chance, drawn = spare(docs, "n_tokens", "topic", "weight", "probability", "sampled")
     marked = docs.withColumns({count: n_words(), topic: first_word_topic()})
     targets = {"source": TARGETS["source"], "lang": TARGETS["lang"], topic: TARGETS["topic"]}
