@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     before, total = None, work.count()
     for _ in range(max_rounds):
         work = cut_lineage(_large_star(work, total).distinct())
-        work = cut_lineage(_small_star(work, work.count()).distinct())
+        work = cut_lineage(_small_star(work, total).distinct())  # no step adds edges
         now = work.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
