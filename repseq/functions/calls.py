@@ -95,8 +95,13 @@ def sort_genes(df: DataFrame, call: str, *, method: str = "name", rank: str = "r
         "name": [k["family"], k["g1"], k["g2"], k["a1"], k["call"]],
         "position": [k["g1"].desc(), k["g2"].desc(), k["family"], k["a1"], k["call"]],
     }[method]
-    # A rank over all calls needs one order; distinct calls are few (a germline set), however many rows carry them.
-    return df.withColumn(rank, F.row_number().over(W.orderBy(*by))).withColumn(call, k["call"])
+    # Only distinct calls with their numbers of rows meet in one order (a germline set); rows are numbered within their call.
+    distinct = df.groupBy(call).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(W.orderBy(*by, F.col(call)).rowsBetween(W.unboundedPreceding, -1))
+    distinct = distinct.select(F.col(call).alias("_call"), F.coalesce(before, F.lit(0)).alias("_before"), k["call"].alias("_named"))
+    inside = F.row_number().over(W.partitionBy(call).orderBy(F.lit(0)))
+    out = df.withColumn("_inside", inside).join(distinct, F.col(call).eqNullSafe(F.col("_call")), "left")
+    return out.withColumn(rank, (F.col("_before") + F.col("_inside")).cast("int")).withColumn(call, F.col("_named")).drop("_inside", "_call", "_before", "_named")
 
 
 #: SQL functions without a Python worker.

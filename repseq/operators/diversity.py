@@ -231,13 +231,24 @@ def estimate_abundance(
     kept = counts.join(sizes.select(group), group, "left_semi")
     boot = bootstrap_abundance(complete_abundance(kept, clone, "x", group), sizes, group, clone, nboot=nboot, seed=seed)
     boot = cut_lineage(boot)  # both results read it, and a lost executor must not draw anew
+    return abundance_curve(boot, group, clone, nboot=nboot, ci=ci)
+
+
+def abundance_curve(boot: DataFrame, group: str, clone: str, *, nboot: int, ci: float = 0.95) -> AbundanceCurve:
+    """Mean, standard deviation, interval and rank of each clone over the realisations ``boot (group, clone, boot)``.
+
+    Ranks come from clones counted by their share, so no task orders a whole group's clones.
+    """
     z = NormalDist().inv_cdf(ci + (1 - ci) / 2)
     mean = F.aggregate("boot", F.lit(0.0), lambda a, b: a + b) / nboot
     base = boot.select(group, clone, "boot", mean.alias("p"))
     spread = F.sqrt(F.aggregate("boot", F.lit(0.0), lambda a, b: a + (b - F.col("p")) * (b - F.col("p"))) / max(1, nboot - 1))
     base = base.select(group, clone, "p", spread.alias("p_sd")).withColumns({"lower": F.greatest(F.lit(0.0), F.col("p") - z * F.col("p_sd")), "upper": F.col("p") + z * F.col("p_sd")})
-    ranked = base.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("p"), clone)))
-    return AbundanceCurve(ranked, boot, group, clone, nboot, ci)
+    steps = base.groupBy(group, "p").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(group).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, -1)
+    steps = steps.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    ranked = base.join(steps, [group, "p"]).withColumn("rank", (F.col("_before") + F.row_number().over(W.partitionBy(group, "p").orderBy(clone))).cast("int"))
+    return AbundanceCurve(ranked.select(group, clone, "p", "p_sd", "lower", "upper", "rank"), boot, group, clone, nboot, ci)
 
 
 def _grid(min_q: float, max_q: float, step_q: float) -> list[float]:

@@ -148,7 +148,7 @@ def permute_labels(nodes: DataFrame, field: str, *, exclude: Sequence = (ROOT, N
     kept = nodes.where(~_excluded(field, exclude)).select("tree_id", "name", field)
     rounds = kept.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
     w = W.partitionBy("iter", "tree_id")
-    rounds = rounds.withColumns({"_fixed": F.row_number().over(w.orderBy("name")), "_drawn": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "iter", "tree_id", "name"), "name"))})
+    rounds = rounds.withColumns({"_fixed": F.row_number().over(w.orderBy("name")), "_drawn": F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iter").cast("string"), F.col("tree_id").cast("string"), "name")), "name"))})
     a = rounds.select("iter", "tree_id", "name", F.col("_fixed").alias("_at"))
     b = rounds.select("iter", "tree_id", F.col("_drawn").alias("_at"), field)
     return a.join(b, ["iter", "tree_id", "_at"]).select("iter", "tree_id", "name", field)

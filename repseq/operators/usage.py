@@ -24,13 +24,7 @@ def _over(keys: Sequence[str]):
 
 def _best(df: DataFrame, keys: list[str], count: str, gene: str) -> DataFrame:
     """One row per ``keys``: the gene with the largest count, the smallest name on ties."""
-    top = df.groupBy(*keys).agg(F.max(count).alias("_top"))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    hits = df.alias("a").join(top.alias("b"), cond & (F.col(f"a.{count}") == F.col("b._top"))).select("a.*")
-    return hits.groupBy(*keys).agg(F.min(gene).alias(gene))
+    return df.groupBy(*keys).agg(F.min(F.struct((-F.col(count)).alias("_n"), F.col(gene).alias("_g"))).alias("_best")).select(*keys, F.col("_best._g").alias(gene))
 
 
 def count_genes(
@@ -70,19 +64,16 @@ def count_genes(
 
     if single and clone:
         out = _clones_of_cells(df.where(F.col(clone).isNotNull()), groups, clone)
-        counts = ["clone_count"]
     elif single:
         cells = df.select(*groups, "gene", cell_id).distinct()
         total = cells.select(*groups, cell_id).distinct().groupBy(*groups).agg(F.count("*").alias("cell_count"))
         out = _share(cells.groupBy(*groups, "gene").agg(F.count("*").alias("seq_count")), total, groups)
-        counts = ["seq_count"]
     elif clone:
         kept = df.where(F.col(clone).isNotNull()).groupBy(*groups, "locus", clone, "gene").agg(F.count("*").alias("_n"))
         best = _best(kept, [*groups, "locus", clone], "_n", "gene")
         out = best.groupBy(*groups, "locus", "gene").agg(F.count("*").alias("clone_count"))
         total = F.sum("clone_count").over(_over([*groups, "locus"]))
         out = out.withColumn("locus_clone_count", total).withColumn("clone_freq", F.col("clone_count") / total)
-        counts = ["clone_count"]
     else:
         sums = {"seq_count": F.count("*")} | ({"copy_count": F.sum(copy)} if copy else {})
         out = df.groupBy(*groups, "locus", "gene").agg(*(c.alias(n) for n, c in sums.items()))
@@ -93,10 +84,7 @@ def count_genes(
         out = out.withColumn("seq_freq", F.col("seq_count") / F.col("locus_count"))
         if copy:
             out = out.withColumn("copy_freq", F.col("copy_count") / F.col("locus_copy_count"))
-        counts = ["copy_count", "seq_count"] if copy else ["seq_count"]
-    if fill:
-        out = _complete(out, groups)
-    return out.orderBy(*(F.desc(c) for c in counts))
+    return _complete(out, groups) if fill else out
 
 
 def _share(counts: DataFrame, total: DataFrame, groups: list[str]) -> DataFrame:

@@ -76,7 +76,7 @@ _add(
 
 # Random results: rows only ----------------------------------------------------------------------------------------------
 def _curve(spark: SparkSession, d: str) -> D.AbundanceCurve:
-    return D.estimate_abundance(airr(spark, d).drop("cell_id"), group="sample_id", nboot=100)
+    return D.estimate_abundance(airr(spark, d).drop("cell_id"), group="sample_id")
 
 
 REGISTRY.add("estimate_abundance", lambda spark, d: _curve(spark, d).abundance)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repseq.operators.quality import sequence_alignment_quality
@@ -12,25 +12,24 @@ from repseq.operators.quality import sequence_alignment_quality
 def read_fastq(spark: SparkSession, path: str, *, quality_offset: int = -33, header: str = "piped") -> DataFrame:
     """``(sequence_id, sequence, quality, quality_num)`` of each four-line record.
 
-    Records are counted by lines (an ``@`` may start a quality line), so a file is read by one task; give many files for
-    many tasks. With the ``piped`` header the id ends at the first ``|``.
+    Records are counted by lines (an ``@`` may start a quality line). A file is read in splits: lines are counted per split,
+    a prefix sum over the splits gives each line its number, and four lines meet by record number. With the ``piped``
+    header the id ends at the first ``|``. Empty lines after the last record are no record; a record that is cut off, or
+    that does not start with ``@``, is an error.
     """
     if header not in ("piped", "asis"):
         raise ValueError("header must be piped or asis")
-
-    def records(batches):
-        for pdf in batches:
-            out = []
-            for text in pdf["value"]:
-                lines = text.splitlines()
-                for i in range(0, len(lines) - 3, 4):
-                    name, seq, qual = lines[i][1:].strip(), lines[i + 1].strip(), lines[i + 3]
-                    if header == "piped":
-                        name = name.split("|")[0]
-                    out.append((name, seq, qual, ",".join(str(ord(c) + quality_offset) for c in qual)))
-            yield pd.DataFrame(out, columns=["sequence_id", "sequence", "quality", "quality_num"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(records, "sequence_id string, sequence string, quality string, quality_num string")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.col("at") - F.col("first") + F.col("before")  # a split's lines have consecutive numbers
+    lines = lines.join(splits.select("file", "start", "first", before.alias("before")), ["file", "start"]).select("file", number.alias("number"), "value")
+    part = lambda i: F.max(F.when(F.col("number") % 4 == i, F.col("value")))
+    records = lines.groupBy("file", F.floor(F.col("number") / 4).alias("record")).agg(*(part(i).alias(x) for i, x in enumerate(("name", "sequence", "plus", "quality"))), F.max(F.length(F.trim("value"))).alias("most"))
+    name = F.when(F.col("quality").isNull() | ~F.startswith("name", F.lit("@")), F.raise_error(F.concat(F.lit("broken FASTQ record in "), "file")).cast("string")).otherwise(F.trim(F.substring("name", 2, 1 << 30)))
+    quality = F.rtrim(F.col("quality"))
+    codes = F.when(F.length(quality) > 0, F.array_join(F.transform(F.split(quality, ""), lambda c: (F.ascii(c) + quality_offset).cast("string")), ",")).otherwise("")
+    return records.where("most > 0").select((F.substring_index(name, "|", 1) if header == "piped" else name).alias("sequence_id"), F.trim("sequence").alias("sequence"), quality.alias("quality"), codes.alias("quality_num"))
 
 
 def read_fastq_db(data: DataFrame, path: str, *, quality_offset: int = -33, header: str = "piped", style: str = "both", quality_sequence: bool = False, **columns: str) -> DataFrame:

@@ -41,7 +41,7 @@ def _typed(df: DataFrame, kinds: dict[str, Sequence[str]]) -> DataFrame:
             if kind == "boolean":
                 value = F.when(F.upper(value).isin("T", "TRUE"), True).when(F.upper(value).isin("F", "FALSE"), False)
             elif kind == "long":
-                value = value.try_cast("double").cast("long")
+                value = F.coalesce(value.try_cast("long"), value.try_cast("double").cast("long"))  # whole numbers of any size, and those written as 3.0
             cast[c] = value if kind == "boolean" else value.try_cast(kind)
     return df.withColumns(cast) if cast else df
 
