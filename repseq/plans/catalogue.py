@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from repseq.plans import cluster, diversity, lineage, sequence, topology, usage
+from repseq.plans import cluster, diversity, fixed, lineage, sequence, topology, usage
 
-REGISTRIES = [usage.REGISTRY, sequence.REGISTRY, diversity.REGISTRY, cluster.REGISTRY, topology.REGISTRY, lineage.REGISTRY]
+REGISTRIES = [usage.REGISTRY, sequence.REGISTRY, diversity.REGISTRY, cluster.REGISTRY, topology.REGISTRY, lineage.REGISTRY, fixed.REGISTRY]
 
 
 def queries() -> dict:

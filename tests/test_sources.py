@@ -44,6 +44,22 @@ def test_fastq(spark, tmp_path):
         fastq.read_fastq_db(db, f"{tmp_path}/r.fastq", style="loud")
 
 
+def test_fastq_splits_and_broken_records(spark, tmp_path):
+    """A file read in many splits gives each record once, in whatever split its lines lie; a cut-off record is an error."""
+    (tmp_path / "a.fastq").write_text("".join(f"@r{i}\n{'ACGT' * (i % 7 + 1)}\n+\n{'@I!J' * (i % 7 + 1)}\n" for i in range(3000)) + "\n\n")
+    (tmp_path / "b.fastq").write_text("@x\nAC\n+\nII\n@y\nAC\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        reads = fastq.read_fastq(spark, f"{tmp_path}/a.fastq")
+        assert spark.read.text(f"{tmp_path}/a.fastq").rdd.getNumPartitions() > 5
+        got = {r.sequence_id: (r.sequence, r.quality) for r in reads.collect()}
+        assert got == {f"r{i}": ("ACGT" * (i % 7 + 1), "@I!J" * (i % 7 + 1)) for i in range(3000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(Exception, match="broken FASTQ record"):
+        fastq.read_fastq(spark, f"{tmp_path}/b.fastq").collect()
+
+
 def test_position_quality(spark):
     df = spark.createDataFrame([("a", "AC-T", "90,60,NA,80"), ("b", "AC", "90,90"), ("c", None, None)], "sequence_id string, sequence_alignment string, quality_alignment_num string")
     assert position_quality(df).count() == 6 and position_quality(df).where("quality IS NULL").first().nt == "-"
