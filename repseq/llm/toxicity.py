@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 from repseq.llm._common import fold, rows, table
 from repseq.session import cut_lineage
 
-#: Runs of letters and digits; longer ones are cut.
-TOKEN = re.compile(r"[^\W_]{1,40}")
+#: Runs of letters and digits, of any length.
+TOKEN = re.compile(r"[^\W_]+")
 ORDER, DISCOUNT = 4, 0.75
-#: Grams that a model holds at most; if the corpus has more, the rarest are left to the shared backoff (a count cutoff).
-MOST_GRAMS = 250_000
+#: Grams that fit a model in memory. None are ever left out: a corpus with more is refused, so no result depends on its size.
+MOST_GRAMS = 5_000_000
 #: Expected rows that the calibration is fitted on, and the parts of the rows that it keeps apart.
 SAMPLE, PARTS = 8_000, 4
 #: How many of a text's words with the largest ratios the calibration sees besides the whole text's ratio.
 TOP = 3
-_FLUSH, _CACHE = 150_000, 300_000
+_FLUSH, _CACHE, _SHORT = 150_000, 300_000, 64
 
 
 def grams(word: str, order: int = ORDER) -> list[str]:
@@ -106,7 +106,9 @@ class Model:
         if len(self.words) > _CACHE:
             self.words.clear()
         ratio, unseen = self.ratio, self.unseen
-        x = self.words[w] = sum(ratio[g] if g in ratio else unseen.get(g[:-1], 0.0) for g in grams(w, self.order))
+        x = sum(ratio[g] if g in ratio else unseen.get(g[:-1], 0.0) for g in grams(w, self.order))
+        if len(w) <= _SHORT:
+            self.words[w] = x
         return x
 
     def score(self, text: str) -> tuple[float, int, float, float]:
@@ -156,7 +158,7 @@ _COUNTS = [f"c{i}" for i in range(2 * PARTS)]
 
 def _gram_counts(batches):
     """Partial gram counts of a partition: columns 2 * part + class."""
-    words, total = Counter(), defaultdict(lambda: [0] * (2 * PARTS))
+    words, letters, total = Counter(), 0, defaultdict(lambda: [0] * (2 * PARTS))
 
     def spell():
         for (w, c), n in words.items():
@@ -167,8 +169,10 @@ def _gram_counts(batches):
     for b in batches:
         for text, c in rows(b, "t", "c"):
             words.update((w, c) for w in TOKEN.findall(text.lower()))
-            if len(words) > _FLUSH:
+            letters += len(text)
+            if len(words) > _FLUSH or letters > 64 * _FLUSH:
                 spell()
+                letters = 0
     spell()
     out = list(total.items())
     for i in range(0, len(out), 50_000):
@@ -188,15 +192,9 @@ def train(df: DataFrame, *, text: str = "text", toxic: str = "toxic", key: str =
     cells = df.select("t", (2 * F.col("part") + F.col("y")).alias("c"))
     found = cells.mapInArrow(_gram_counts, ", ".join(["g string", *(f"{c} long" for c in _COUNTS)]))
     found = found.groupBy("g").agg(*(F.sum(c).alias(c) for c in _COUNTS))
-    found = cut_lineage(found.withColumn("n", F.expr(" + ".join(_COUNTS))))
+    found = cut_lineage(found)
     if found.count() > most:
-        spread = found.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("grams"), F.min("n").alias("n")).orderBy(F.desc("size")).collect()
-        held, least = 0, spread[0].n
-        for s in spread:  # a few hundred rows: whole steps of counts, from the most frequent down
-            if held + s.grams > most:
-                break
-            held, least = held + s.grams, s.n
-        found = found.where(F.col("n") >= least)
+        raise ValueError(f"the corpus has more than {most} grams; raise `most` with the driver's and the workers' memory")
     t = found.toArrow()
     names, count = t["g"].to_pylist(), np.column_stack([t[c].to_numpy() for c in _COUNTS]).reshape(-1, PARTS, 2)
 

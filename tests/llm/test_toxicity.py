@@ -28,11 +28,44 @@ def test_rare_spellings_are_neutral():
     assert model.score("") == (0.0, 0, 0.0, 0.0)
 
 
-def test_count_cutoff(spark):
-    rows = [(i, "zork mean words" if i % 4 == 0 else f"kind words number{i}", int(i % 4 == 0)) for i in range(200)]
+def test_no_gram_is_left_out(spark):
+    """The fitted grams are those of all labelled texts, long words too; a corpus beyond the bound is refused."""
+    rows = [(i, f"zork {'mean' * 40} words" if i % 4 == 0 else f"kind words number{i}", int(i % 4 == 0)) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    scorer = T.train(df, most=30)
-    assert 0 < len(scorer.model.ratio) <= 30
+    want = {g for _, t, _ in rows for w in t.split() for g in T.grams(w)}
+    assert set(T.train(df).model.ratio) == want
+    with pytest.raises(ValueError, match="grams"):
+        T.train(df, most=30)
+
+
+def test_ratios_are_those_of_kneser_ney():
+    """The ratio of a gram from its definition: discounted class counts over a backoff shared by both classes."""
+    counts = {"^a": (4, 1), "^ab": (3, 1), "^aba": (2, 0), "abab": (1, 1), "bab$": (1, 1), "^b": (0, 2), "^ba": (0, 2), "^ba$": (0, 2), "aba$": (2, 0)}
+    model = T.Model(counts)
+    types = {n: {g[-n:] for g in counts if len(g) >= n} for n in (1, 2, 3)}
+
+    def ways(g):  # in how many ways the next longer grams extend g to the left
+        longer = {x[-len(g) - 1 :] for x in counts if len(x) > len(g)} if len(g) == 3 else {x[-len(g) - 1 :] for x in counts if len(x) > len(g)}
+        return len({x for x in longer if x.endswith(g)})
+
+    def shared(h, c):
+        if not h:
+            total, kinds = sum(ways(x) for x in types[1]), len([x for x in types[1] if ways(x)])
+            return (ways(c) + 1) / (total + kinds + 1)
+        after = {x: ways(x) for n in (2, 3) for x in types[n] if len(x) == len(h) + 1 and x[:-1] == h and ways(x)}
+        lower = shared(h[1:], c)
+        if not after:
+            return lower
+        return (max(after.get(h + c, 0) - T.DISCOUNT, 0) + T.DISCOUNT * len(after) * lower) / sum(after.values())
+
+    for g, pair in counts.items():
+        h = g[:-1]
+        p = []
+        for k in (0, 1):
+            seen = {x: v[k] for x, v in counts.items() if x[:-1] == h and v[k]}
+            lower = shared(g[1:-1], g[-1])
+            p.append((max(pair[k] - T.DISCOUNT, 0) + T.DISCOUNT * len(seen) * lower) / sum(seen.values()) if seen else lower)
+        assert model.ratio[g] == pytest.approx(math.log(p[1] / p[0])), g
 
 
 def test_edges(spark):
@@ -56,3 +89,4 @@ def test_held_out(spark):
     high, low = held[held["toxic"] == 1]["score"], held[held["toxic"] == 0]["score"]
     assert sum((h > low).mean() for h in high) / len(high) > 0.97
     assert held[held["predicted"] == 1]["toxic"].mean() > 0.8
+    assert held[held["toxic"] == 1]["predicted"].mean() > 0.6
