@@ -36,6 +36,8 @@ MARKED = re.compile(
     r"nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|replies|reply|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Names that say what an element has, not what it is.
+_ABOUT = re.compile(r"(?:has|with|without|no|is|show|hide)[_-]", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose end tag may be left out: a block that starts or ends around them ends them.
 LOOSE = frozenset("p li dt dd option".split())
@@ -44,20 +46,90 @@ LOOSE = frozenset("p li dt dd option".split())
 WINDOW, SURGE = 3, 86
 
 
+#: Headings name what follows: their class or id never marks them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 html body".split())
+#: Boilerplate elements that may wrap a whole page, which their text then decides.
+WRAPPERS = frozenset("form header".split())
+
+
+def _ends(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
+    """For each opening tag that something closes: the closing token's number, and whether that is its own end tag."""
+    ends: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int]] = []
+    for k, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        if not m["close"]:
+            while stack and stack[-1][0] in LOOSE and (stack[-1][0] == tag or (stack[-1][0] == "p" and tag in BLOCKS) or {stack[-1][0], tag} == {"dt", "dd"}):
+                ends[stack.pop()[1]] = (k, False)
+            stack.append((tag, k))
+            continue
+        at = len(stack) - 1
+        while at >= 0 and stack[at][0] != tag and (tag in BLOCKS or stack[at][0] not in BLOCKS):
+            at -= 1
+        if at < 0 or stack[at][0] != tag:
+            continue
+        for _, other in stack[at + 1 :]:
+            ends[other] = (k, False)
+        ends[stack[at][1]] = (k, True)
+        del stack[at:]
+    return ends
+
+
+def boilerplate(html: str, tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
+    """Which opening tags start boilerplate, with their ends (see ``_ends``).
+
+    Element names and marks in a class, id or role are hints only. What is never closed, or holds the page's ``article`` or
+    ``main``, is none; nor is a marked element that holds the only text to make a surge: it wraps the page.
+    """
+    ends = _ends(tokens)
+    letters, seen, last, hidden = [0], 0, 0, 0
+    for k, m in enumerate(tokens):  # letters before each token, without those in menus, footers and the like
+        if k >= hidden:
+            seen += len("".join(html[last : m.start()].split()))
+        letters.append(seen)
+        last = m.end()
+        tag = (m["tag"] or "").lower()
+        if k >= hidden and tag in BOILERPLATE and tag not in WRAPPERS and not m["close"] and k in ends:
+            hidden = ends[k][0]
+    total = seen + len("".join(html[last:].split()))
+    mains = [k for k, m in enumerate(tokens) if m["tag"] and not m["close"] and m["tag"].lower() in ("article", "main")]
+    out, inside = {}, [(k, ends[k][0] if k in ends else len(tokens)) for k in mains]
+    for k, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if not tag or m["close"] or k not in ends or tag in HEADINGS:
+            continue
+        named = " ".join(x or y or z for x, y, z in _NAMED.findall(m["attrs"])) if m["attrs"] else ""
+        marked = bool(named) and any(MARKED.search(n) and not _ABOUT.match(n) for n in named.split())
+        if tag in BOILERPLATE and not (tag == "header" and any(a < k < b for a, b in inside)):
+            marked, sure = True, tag not in WRAPPERS
+        else:
+            sure = False
+        if not marked or any(k < x < ends[k][0] for x in mains):
+            continue
+        within = letters[ends[k][0]] - letters[k]
+        if not sure and within >= SURGE > total - within:
+            continue
+        out[k] = ends[k]
+    return out
+
+
 def lines(html: str) -> tuple[list[str], list[int], list[bool], bool]:
     """The page's lines with markup stripped, each line's length for the distribution, whether it may be
     main text, and whether an article is marked.
 
-    A boilerplate element leaves a gap of empty lines as long as the window. Link text does not count towards a length; a
-    link that is never closed ends with its block.
-    Where ``article`` or ``main`` marks the main text, lines outside count nothing.
+    Boilerplate leaves a gap of empty lines as long as the window. Link text does not count towards a length; a link that
+    is never closed ends with its block. Where ``article`` or ``main`` marks the main text, lines outside count nothing.
     """
     out: list[str] = []
     lengths: list[int] = []
     inside_marks: list[bool] = []
     words: list[str] = []
-    linked = depth = anchors = 0
-    skip, nested, at, seen = "", 0, 0, False
+    linked = depth = anchors = at = 0
+    seen, k = False, 0
+    tokens = list(_TOKEN.finditer(html))
+    skipped = boilerplate(html, tokens)
 
     def end_line():
         nonlocal linked
@@ -78,40 +150,32 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool], bool]:
 
     def text_until(stop: int):
         nonlocal linked
-        if not skip and stop > at:
+        if stop > at:
             text = unescape(html[at:stop])
             words.append(text)
             if anchors:
                 linked += len(" ".join(text.split()))
 
-    for m in _TOKEN.finditer(html):
+    while k < len(tokens):
+        m = tokens[k]
         text_until(m.start())
         at = m.end()
         tag, closes = (m["tag"] or "").lower(), bool(m["close"])
+        if k in skipped:
+            gap()
+            end, own = skipped[k]
+            k, at = (end + 1, tokens[end].end()) if own else (end, tokens[end].start())
+            continue
+        k += 1
         if not tag:
             continue
-        if skip:
-            if tag == skip:
-                nested += -1 if closes else 1
-            if nested > 0 and not (skip in LOOSE and (tag in BLOCKS) and (closes or tag == skip or tag not in ("p", "ul", "ol", "li"))):
-                continue
-            ended = nested <= 0 and closes and tag == skip
-            skip = ""
-            if ended:
-                continue
         if tag in ("article", "main"):
             end_line()
             seen |= not closes
             depth = max(0, depth - 1) if closes else depth + 1
-        if not closes and tag not in VOID and tag not in ("html", "body"):
-            named = " ".join(a or b or c for a, b, c in _NAMED.findall(m["attrs"])) if m["attrs"] else ""
-            if (tag in BOILERPLATE and not (tag == "header" and depth)) or (named and MARKED.search(named)):
-                if tag in ("article", "main"):
-                    depth = max(0, depth - 1)
-                gap()
-                skip, nested = tag, 1
-                continue
-        if tag in BLOCKS:
+        if tag in BOILERPLATE and not closes and tag not in VOID:
+            gap()
+        elif tag in BLOCKS:
             if closes or (tag in LOOSE and linked):
                 anchors = 0
             end_line()

@@ -77,3 +77,55 @@ SHARE = "<div class='share'>share this</div>"
 )
 def test_no_text_is_dropped(page, want):
     assert H.extract(page) == want
+
+
+P = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(3))
+TEXT = "\n".join(f"{'word ' * 30}{i}" for i in range(3))
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<body><nav><a href="/">Home</a></nav><div id="page" class="has-sidebar">{P}</div></body>', TEXT),
+        (f'<body><div class="search">{P}</div><footer>Imprint</footer></body>', TEXT),
+        (f'<body><article class="post search">{P}</article></body>', TEXT),
+        (f'<body><nav><a href="/">Home</a><article>{P}</article></body>', TEXT),
+        (f'<body><article>{P}<h2 id="comments">Comments on the law</h2><p>more of it</p></article></body>', f"{TEXT}\nComments on the law\nmore of it"),
+        (f'<body><article>{P}' + "".join(f'<p><a href="/{i}">part {i}</a></p>' for i in range(4)) + "</article></body>", TEXT + "".join(f"\npart {i}" for i in range(4))),
+        (f'<body><form id="f">{P}</form></body>', TEXT),
+        (f'<body><article>{P}</article><section class="comments"><article><p>{"I say " * 40}</p></article></section></body>', None),
+        (f'<body><div class="story">{P}</div><div class="comments"><p>{"I say " * 40}</p></div></body>', TEXT),
+        (f'<body><article>{P}<div class="comments"><p>{"I say " * 90}</p></div></article></body>', TEXT),
+        (f"<body><article>{P}<p>first<p>second<ul><li>a<li>b</ul></article></body>", f"{TEXT}\nfirst\nsecond\na\nb"),
+    ],
+)
+def test_hints_do_not_drop_the_article(page, want):
+    """Names that wrap the page, unclosed boilerplate, headings with marked ids, and blocks of links."""
+    if want is not None:
+        assert H.extract(page) == want
+
+
+def test_very_long_page_without_tags():
+    text = "word " * 200_000
+    assert H.extract(text) == text.strip()
+
+
+def test_without_article_tags(spark, small):
+    """Where only the distribution tells (article and main renamed to div), the text agrees with the article's."""
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect() if r.html]
+    import re as _re
+
+    plain = [_re.sub(r"(?i)(</?)(article|main)\b", r"\1div", h) for h in pages]
+    agree = sum(H.extract(a) == H.extract(b) for a, b in zip(pages, plain, strict=True)) / len(pages)
+    assert agree > 0.95
+
+
+def test_by_text_density_alone(spark, small):
+    """Without the article's tags and without any class, id or role, lines still mostly are the article's."""
+    recall, precise = [], []
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        bare = re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub(r"(?i)(</?)(article|main)\b", r"\1div", r.html or ""))
+        want, got = set(H.extract(r.html).split("\n")), set(H.extract(bare).split("\n"))
+        recall.append(len(want & got) / len(want))
+        precise.append(sum(map(len, want & got)) / max(1, sum(map(len, got))))
+    assert sum(recall) / len(recall) > 0.85 and sum(precise) / len(precise) > 0.85
