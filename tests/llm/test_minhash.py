@@ -42,3 +42,36 @@ def test_pairs_across_components_of_a_band(spark, monkeypatch):
     rows = [(1, "x y z"), (2, " ".join(a)), (3, " ".join(b)), (4, " ".join([*a, "new"])), (5, " ".join([*b, "new"])), (6, " ".join(b))]
     out = M.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 2, 3: 3, 4: 2, 5: 3, 6: 3}
+
+
+def test_group_of_copies_with_many_edits(spark):
+    """Copies of one text, each with up to six words changed: many share bands without being alike. Against all pairs."""
+    import random
+
+    dice = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for _ in range(dice.randint(0 if i == 70 else 1, 6)):
+            at = dice.randrange(len(w))
+            w[at : at + 1] = dice.choice([[], [f"n{dice.randrange(40)}"], [w[at], f"n{dice.randrange(40)}"]])
+        texts[i] = " ".join(w)
+    sets = {i: grams(t) for i, t in texts.items()}
+    at = {i: i for i in sets}
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i in texts:
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8:
+                a, b = root(i), root(j)
+                at[max(a, b)] = min(a, b)
+    expected = {i: root(i) for i in texts}
+    assert 3 < len(set(expected.values())) < 147
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in M.near_copies(df).collect()} == expected
