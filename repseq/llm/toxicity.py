@@ -21,6 +21,8 @@ TOKEN = re.compile(r"[^\W_]+")
 ORDER, DISCOUNT = 4, 0.75
 #: Grams that fit a model in memory. None are ever left out: a corpus with more is refused, so no result depends on its size.
 MOST_GRAMS = 5_000_000
+#: Ranges of 32,768 ids whose labels are broadcast as bitmaps; with more of them labels are joined by id, with the same result.
+MOST_BITMAPS = 8_192
 #: Expected rows that the calibration is fitted on, and the parts of the rows that it keeps apart.
 SAMPLE, PARTS = 8_000, 4
 #: How many of a text's words with the largest ratios the calibration sees besides the whole text's ratio.
@@ -235,12 +237,29 @@ def score(df: DataFrame, scorer: Scorer, *, text: str = "text", out: str = "toxi
 
 
 def labelled(docs: DataFrame, labels: DataFrame, where: Column) -> DataFrame:
-    """The rows of ``docs`` that ``where`` picks, with their label; of several labels of one document the largest holds.
+    """The rows of ``docs`` that ``where`` picks, with their label 0 or 1; of several labels of one document the largest holds.
 
-    Both sides grow with the corpus, so the join is a sorted one at every size.
+    Labels of integer ids become two bitmaps for each 32,768 ids. Up to ``MOST_BITMAPS`` such ranges are broadcast (8 KB
+    each, 64 MB at most, counted first), and no text is moved. More ranges, or ids of another type, are joined by id.
+    Rows with a NULL id have no label.
     """
-    one = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
-    return docs.select("doc_id", "text").where(where).join(one.hint("merge"), "doc_id")
+    docs = docs.select("doc_id", "text").where(where)
+    one = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if any(d.schema["doc_id"].dataType.simpleString() not in whole for d in (docs, labels)):
+        return docs.join(one, "doc_id")
+    bucket, place = F.bitmap_bucket_number(F.col("doc_id").cast("long")), F.bitmap_bit_position(F.col("doc_id").cast("long"))
+    ranges = one.groupBy(bucket.alias("bucket")).agg(*(F.bitmap_construct_agg(F.when(F.col("toxic") == k, place)).alias(f"is{k}") for k in (0, 1)))
+    ranges = cut_lineage(ranges)
+    if ranges.count() > MOST_BITMAPS:
+        return docs.join(one, "doc_id")
+
+    def has(bits: str) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col(bits), (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.pow(F.lit(2), F.col("place") % 8).cast("int")) != 0
+
+    found = docs.withColumns({"bucket": bucket, "place": place}).join(F.broadcast(ranges), "bucket")
+    return found.withColumn("toxic", F.when(has("is1"), 1).when(has("is0"), 0)).where("toxic IS NOT NULL").select("doc_id", "text", "toxic")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from repseq.llm import toxicity as T
 
@@ -90,3 +91,19 @@ def test_held_out(spark):
     assert sum((h > low).mean() for h in high) / len(high) > 0.97
     assert held[held["predicted"] == 1]["toxic"].mean() > 0.8
     assert held[held["toxic"] == 1]["predicted"].mean() > 0.6
+
+
+def test_labels_by_bitmap_and_by_id_agree(spark, monkeypatch):
+    ids = [-40_000, -32_768, -1, 0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 10**12, None]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(7, "another")], "doc_id long, text string")
+    labels = [(i, n % 2) for n, i in enumerate(ids)] + [(0, 0), (0, 1), (8, None), (99, 1), (1, 2), (65_536, 0)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    most, found = {}, []
+    for n, toxic in labels.collect():
+        if n is not None and toxic is not None:
+            most[n] = max(toxic, most.get(n, toxic))
+    for limit in (8_192, 0):
+        monkeypatch.setattr(T, "MOST_BITMAPS", limit)
+        found.append(sorted(map(tuple, T.labelled(docs, labels, F.lit(True)).collect())))
+    assert found[0] == found[1] == sorted((i, t, most[i]) for i, t in map(tuple, docs.collect()) if most.get(i) in (0, 1))
+    assert T.labelled(docs, labels.limit(0), F.lit(True)).count() == 0
