@@ -18,9 +18,10 @@ SAMPLE = 20_000
 #: Components in a subspace, codes in a codebook (four bits), and the score share from which a neighbour matters.
 WIDTH, CODES, THRESHOLD = 2, 16, 0.2
 #: Candidates of a block that are scored exactly, per neighbour asked for.
-RERANK = 10
-#: Rows of the table in a block, and queries in one.
-ROWS, QUERIES = 16_384, 4_096
+RERANK = 20
+#: Rows of the table in a block, and queries in one. Each row is sent once for a block of queries and each query once for a
+#: block of rows, so larger blocks send less; a block of 64 components takes some 50 MB in a worker.
+ROWS, QUERIES = 32_768, 65_536
 
 
 class Codebooks:
