@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, most: int, each: int = 50_000) -> DataFrame:
+    """``df``, known to have ``most`` rows or fewer, in one partition for each ``each`` of them, but one a core at least.
+
+    A small table in many partitions costs a file and a task for each of them at every later exchange. Only partitions
+    are merged; nothing is shuffled, and the rows are the same.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(most / each)))
+
+
 def tasks(spark: SparkSession) -> int:
     """Tasks for stages whose work is far larger than their input, which adaptive execution would merge into one."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
