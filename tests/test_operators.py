@@ -264,6 +264,10 @@ def test_edge_rounds(spark, monkeypatch):
     _edge_rounds(spark, monkeypatch, False)
 
 
+def test_edge_rounds_indirect(spark, monkeypatch):
+    _edge_rounds(spark, monkeypatch, True)
+
+
 def test_parsimony_of_a_large_clone():
     """Eighty sequences get inferred ancestors, and every one is placed where the whole tree is cheapest."""
     import numpy as np
