@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands for candidates, exact verification, components."""
+"""Near copies by the Jaccard similarity of word shingles: candidates from the SimHash index, then from MinHash bands for what
+it leaves apart; exact verification; components."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repseq.llm._common import rows, spare
+from repseq.llm.simhash import links, shingle_hashes, simhash
 from repseq.operators.components import connected_components
 from repseq.session import cut_lineage, few, join_counted
 
@@ -26,9 +28,12 @@ _PLUS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, np.uint64)[:, None]
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct XXH64 of the ASCII-lower-cased words' shingles; a shorter text is one shingle."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space only
-    whole = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in whole), np.uint64))
+    return _distinct(shingle_hashes(text, words))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The set; texts without words have the hash of nothing."""
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -40,20 +45,23 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _scan(df: DataFrame, text: str, words: int, sets: bool) -> DataFrame:
-    """The rows' ``key, h1, h2``, the digest ``d`` of the set of shingles, its size ``n``, and in ``v`` the set or else its bands."""
+    """The rows' ``key, h1, h2``, the digest ``d`` of the set of shingles, its size ``n``, in ``v`` the set or else
+    its bands, and the SimHash ``fp`` of the shingles, repeats included."""
     own = ["key", "h1", "h2"]
 
     def scan(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                found = [shingles(t, words) for (t,) in rows(part, "t")]
+                every = [shingle_hashes(t, words) for (t,) in rows(part, "t")]
+                found = [_distinct(h) for h in every]
+                fp = pa.array(np.array([0 if sets else simhash(h) for h in every], np.uint64).view(np.int64))
                 values = [(h.view(np.int64) if sets else bands(h)) for h in found]
                 v = pa.array(values, pa.list_(pa.int64()))
                 d = pa.array([xxhash.xxh128_digest(h.tobytes()) for h in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), d, pa.array([len(h) for h in found], pa.int32()), v], [*own, "d", "n", "v"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), d, pa.array([len(h) for h in found], pa.int32()), v, fp], [*own, "d", "n", "v", "fp"])
 
-    return df.select(*own, F.col(text).alias("t")).mapInArrow(scan, f"key {df.schema['key'].dataType.simpleString()}, h1 long, h2 long, d binary, n int, v array<long>")
+    return df.select(*own, F.col(text).alias("t")).mapInArrow(scan, f"key {df.schema['key'].dataType.simpleString()}, h1 long, h2 long, d binary, n int, v array<long>, fp long")
 
 
 def _named(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -61,24 +69,36 @@ def _named(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).alias("t"), F.xxhash64(F.lit(1), F.col(text)).alias("h1"), F.xxhash64(F.lit(2), F.col(text)).alias("h2"))
 
 
+def _close(nodes: DataFrame, total: int) -> DataFrame:
+    """Pairs ``(src, dst)`` of ``nodes (id, fp)`` that connect all whose fingerprints are equal or, by the SimHash index, linked."""
+    hubs = cut_lineage(few(nodes.groupBy("fp").agg(F.min("id").alias("hub"), F.count("*").alias("rows")), total))
+    same = join_counted(nodes.select("id", "fp"), hubs, "fp", "rows", total, "inner").where("id != hub").select(F.col("hub").alias("src"), F.col("id").alias("dst"))
+    end = hubs.select("fp", "hub")
+    near = links(hubs.select("fp")).join(end.toDF("src", "a"), "src").join(end.toDF("dst", "b"), "dst")
+    near = cut_lineage(same.union(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    return few(near, near.count())
+
+
 def _classes(df: DataFrame, key: str, text: str, words: int, least: float) -> tuple[DataFrame, DataFrame]:
     """Rows ``(key, h1, h2, d)``, and nodes ``(d, c, rows)``: each set of shingles, its class, and how many rows have it."""
     df = _named(df, key, text)
     marks = cut_lineage(_scan(df, "t", words, sets=False))
     total = marks.count()
     one = F.min(F.struct(F.col("key").isNull(), "key", "h1", "h2"))
-    nodes = marks.groupBy("d").agg(one.alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("v").alias("v"))
+    nodes = marks.groupBy("d").agg(one.alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("v").alias("v"), F.min("fp").alias("fp"))
     nodes = cut_lineage(few(nodes, total).withColumn("id", F.monotonically_increasing_id()))  # numbers hold, as the nodes are written down
+    close = _close(nodes, total)
     posts = nodes.select("id", F.explode("v").alias("band"))
     many = posts.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1").select("band", "hub")
     posts = cut_lineage(few(posts.join(many, "band"), total * BANDS))
     shared = posts.count()
     posts = few(posts, shared)
-    wanted = nodes.join(posts.select("id").distinct(), "id", "left_semi").select("id", "d", "n", "rep.key", "rep.h1", "rep.h2")
+    some = posts.select("id").union(close.select("src")).union(close.select("dst")).distinct()
+    wanted = nodes.join(some, "id", "left_semi").select("id", "d", "n", "rep.key", "rep.h1", "rep.h2")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("key", "h1", "h2")]
     texts = df.alias("a").join(wanted.alias("b"), same[0] & same[1] & same[2], "left_semi")
     sets = _scan(texts, "t", words, sets=True).select("d", "v").dropDuplicates(["d"])
-    sets = cut_lineage(few(sets.join(wanted.select("id", "d", "n"), "d").select("id", "n", "v"), min(total, shared), SETS))
+    sets = cut_lineage(few(sets.join(wanted.select("id", "d", "n"), "d").select("id", "n", "v"), total, SETS))
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of pairs ``(src, dst)`` those at the similarity."""
@@ -88,15 +108,19 @@ def _classes(df: DataFrame, key: str, text: str, words: int, least: float) -> tu
         both = both.withColumn("common", F.size(F.array_intersect("v1", "v2")))
         return cut_lineage(both.where(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common")) >= least).select("src", "dst"))
 
+    def parted(posts: DataFrame, joined: DataFrame) -> DataFrame:
+        """Of ``posts`` with ``band`` and ``id`` those whose band lies in several components, with the component ``c``."""
+        posts = posts.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        split = posts.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("band")
+        return cut_lineage(few(posts.join(split, "band"), shared))
+
     def between(posts: DataFrame, joined: DataFrame) -> DataFrame:
         """Of ``posts (band, id)`` those whose band lies in several components, with component, size ``n`` and ``k``.
 
         ``k`` counts the shingles that another of these sets has too, so no partner shares more. Rows for which that is too
         few for a set as small as the band's smallest have no partner there and are left out.
         """
-        posts = posts.join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-        split = posts.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("band")
-        posts = cut_lineage(few(posts.join(split, "band"), shared))
+        posts = parted(posts, joined)
         own = sets.join(posts.select("id").distinct(), "id", "left_semi")
         alone = own.select("id", F.explode("v").alias("s")).groupBy("s").agg(F.count("*").alias("times"), F.min("id").alias("id")).where("times = 1")
         alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
@@ -126,16 +150,18 @@ def _classes(df: DataFrame, key: str, text: str, words: int, least: float) -> tu
         fits = f"x.s = y.s AND y.lead AND x.c != y.c AND (x.n, x.id) > (y.n, y.id) AND y.n >= x.n * {least} - 1e-6 AND {most}"
         return each.alias("x").join(each.alias("y"), F.expr(fits)).select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"))
 
-    spokes = posts.where("id != hub")
-    edges = alike(spokes.select(F.col("hub").alias("src"), F.col("id").alias("dst")))
-    joined = cut_lineage(few(connected_components(edges).withColumnRenamed("node", "id"), shared))
+    edges = alike(close)
+    joined = cut_lineage(few(connected_components(edges).withColumnRenamed("node", "id"), total))
+    spokes = parted(posts, joined).where("id != hub").drop("c")
+    edges = edges.union(alike(spokes.select(F.col("hub").alias("src"), F.col("id").alias("dst"))))
+    joined = cut_lineage(few(connected_components(edges).withColumnRenamed("node", "id"), total))
     open_ = between(spokes.select("band", "id"), joined)
     best = open_.groupBy("band").agg(F.max_by(F.struct("id", "c"), F.struct("k", -F.col("id"))).alias("hub"))
     open_ = cut_lineage(few(open_.join(best, "band"), shared))
     more = alike(open_.where("c != hub.c").select(F.col("hub.id").alias("src"), F.col("id").alias("dst")))
     if not more.isEmpty():
         edges = edges.union(more)
-        joined = cut_lineage(few(connected_components(edges).withColumnRenamed("node", "id"), shared))
+        joined = cut_lineage(few(connected_components(edges).withColumnRenamed("node", "id"), total))
     open_ = between(open_.where("id != hub.id").select("band", "id"), joined)
     last = alike(across(open_.groupBy("id").agg(F.min("c").alias("c"), F.min("n").alias("n"), F.min("k").alias("k"))))
     found = joined if last.isEmpty() else connected_components(edges.union(last)).withColumnRenamed("node", "id")
@@ -145,7 +171,8 @@ def _classes(df: DataFrame, key: str, text: str, words: int, least: float) -> tu
 def near_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """``(key, component_id)`` per row: the smallest key reachable over pairs of similarity ``least`` or more.
 
-    Equal sets of shingles are one node from the start. Pairs that share a band are compared by their whole sets: first
+    Equal sets of shingles are one node from the start. Sets whose SimHash fingerprints are equal or linked by the index are
+    compared first, by the whole sets; bands whose sets that joins are done. In the others, too, pairs are compared by their whole sets: first
     each with the first node of its band, then, where that leaves a band in several components, with the node that has most
     shingles in common with others, and at last the pairs across components that share one of their rarest shingles, as
     every two at the similarity do. Before the second and the third step nodes go that have too few shingles in common with

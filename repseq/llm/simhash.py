@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repseq.llm._common import dealt, rows
-from repseq.llm.minhash import one_of_each_class
 from repseq.operators.components import connected_components
 from repseq.session import cut_lineage, join_counted
 
@@ -29,15 +28,24 @@ LIST = 4096
 SHARED = 4096
 
 
+def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of the ASCII-lower-cased words' shingles, repeats included; a shorter text is one shingle, one without words none."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space only
+    if not w:
+        return np.empty(0, np.uint64)
+    shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in shingles), np.uint64)
+
+
 def fingerprint(text: str | None, *, words: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text: its ASCII-lower-cased words' shingles, repeats included, by XXH64."""
-    if not text:
-        return 0
-    w = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space only
-    if not w:
+    return simhash(shingle_hashes(text, words, seed))
+
+
+def simhash(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 of none."""
+    if not len(h):
         return 0
-    shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in shingles), np.uint64)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
@@ -226,9 +234,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near copies stays, with its columns unchanged.
 
-    Near copies share four fifths of their five-word shingles or more; op3's fingerprints at three bits find few of them
-    (see ``minhash``). Of a group the row with the smallest id stays, rows without id last; of several texts under that id
+    Near copies share four fifths of their five-word shingles or more. Candidates come from the SimHash index (fingerprints
+    of five-word shingles, ``links``) and are verified by their whole sets; what three bits do not reach is searched among
+    the components that this leaves (see ``minhash``). Of a group the row with the smallest id stays, rows without id last; of several texts under that id
     the one with the smallest hash; of rows alike in id and text one. Different texts under one id are different documents.
     NULL, empty and wordless texts are copies of each other; no rows give no rows.
     """
+    from repseq.llm.minhash import one_of_each_class  # builds on this module
+
     return one_of_each_class(docs)

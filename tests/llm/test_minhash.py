@@ -33,6 +33,22 @@ def test_stage_removes_near_copies_beyond_three_bits(spark):
     assert {r.doc_id for r in S.dedup_stage(spark, docs, "").collect()} == {i for i in ids if root(i) == i}
 
 
+def test_stage_takes_the_simhash_index(spark, monkeypatch):
+    """Without any band the index alone finds close pairs, and the whole sets decide on them: a passage repeated 400 times makes
+    the fingerprints of two texts close, but not the texts near copies."""
+    base = [f"w{i}" for i in range(3000)]
+    line = ["one", "two", "three", "four", "five", "six", "seven"]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(f"v{i}" for i in range(50)))]
+    rows += [(4, " ".join(line * 400 + [f"x{i}" for i in range(20)])), (5, " ".join(line * 400 + [f"y{i}" for i in range(20)]))]
+    fp = {i: S.fingerprint(t, words=5) for i, t in rows}
+    assert (fp[1] ^ fp[2]).bit_count() <= 3 and (fp[4] ^ fp[5]).bit_count() <= 3
+    docs, seen, links = spark.createDataFrame(rows, "doc_id long, text string"), [], M.links
+    monkeypatch.setattr(M, "links", lambda marks: seen.append({r.fp for r in marks.collect()}) or links(marks))
+    monkeypatch.setattr(M, "bands", lambda h: h[:0].view("int64"))
+    assert {r.doc_id for r in S.dedup_stage(spark, docs, "").collect()} == {1, 3, 4, 5}
+    assert {x % 2**64 for x in seen[0]} == set(fp.values())
+
+
 def test_pairs_across_components_of_a_band(spark, monkeypatch):
     """One band for all texts: the pairs that the smallest key does not join are still compared."""
     import numpy as np
