@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repseq.llm._common import dealt, fold, rows, spare, table
-from repseq.session import cut_lineage, tasks
+from repseq.session import cut_lineage, give_back, given_back, small_batches, tasks
 
 #: Words: runs of letters with their marks. Digits and other numerals are no letters.
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -386,7 +386,7 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
             p, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(sums[p, k])], ["p", "k", "x"])
 
-        found = words.mapInArrow(step, "p int, k int, x double").groupBy("p", "k").agg(F.sum("x").alias("x")).toArrow()
+        found = words.mapInArrow(lambda it: given_back(step(it)), "p int, k int, x double").groupBy("p", "k").agg(F.sum("x").alias("x")).toArrow()
         shared.destroy()
         sums = np.zeros_like(prob)
         sums[found["p"].to_numpy(), found["k"].to_numpy()] = found["x"].to_numpy()
@@ -438,7 +438,9 @@ def identify(df: DataFrame, model: Model, *, text: str = "text", out: str = "lan
         import pandas as pd
 
         whole = ("" if t is None else t for t in texts)
-        return pd.DataFrame([x for part in _chunks(whole, len) for x in shared.value.predict(part)], columns=["lang", "score", "fit"])
+        found = [x for part in _chunks(whole, len) for x in shared.value.predict(part)]
+        give_back()
+        return pd.DataFrame(found, columns=["lang", "score", "fit"])
 
     return df.drop(out).withColumn(out, predict(F.col(text)))
 
@@ -458,6 +460,7 @@ def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least: fl
     NULL and empty texts and those without letters go; a NULL in another column changes nothing; no rows give no rows;
     where no document has a language, none can be found and all go. Columns stay as they are, whatever their names.
     """
+    small_batches(spark)
     (name,) = spare(docs, "language")
     found = identify(docs, train(docs.where(fold("doc_id", 3) != 1)), out=name)
     language = F.col(name)

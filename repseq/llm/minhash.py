@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from repseq.llm._common import rows, spare
 from repseq.llm.simhash import links, shingle_hashes, simhash
 from repseq.operators.components import connected_components
-from repseq.session import cut_lineage, few, join_counted
+from repseq.session import cut_lineage, few, given_back, join_counted
 
 #: Words in a shingle, and the similarity from which two texts are near copies.
 WORDS, LEAST = 5, 0.8
@@ -61,7 +61,7 @@ def _scan(df: DataFrame, text: str, words: int, sets: bool) -> DataFrame:
                 d = pa.array([xxhash.xxh128_digest(h.tobytes()) for h in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), d, pa.array([len(h) for h in found], pa.int32()), v, fp], [*own, "d", "n", "v", "fp"])
 
-    return df.select(*own, F.col(text).alias("t")).mapInArrow(scan, f"key {df.schema['key'].dataType.simpleString()}, h1 long, h2 long, d binary, n int, v array<long>, fp long")
+    return df.select(*own, F.col(text).alias("t")).mapInArrow(lambda it: given_back(scan(it)), f"key {df.schema['key'].dataType.simpleString()}, h1 long, h2 long, d binary, n int, v array<long>, fp long")
 
 
 def _named(df: DataFrame, key: str, text: str) -> DataFrame:

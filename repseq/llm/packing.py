@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repseq.llm._common import rows, table
 from repseq.llm.tokens import WordIds, default_path
-from repseq.session import cut_lineage
+from repseq.session import cut_lineage, given_back, small_batches
 
 #: Ids of a sequence; the id that ends a document; open windows per partition; a gap worth cutting a piece for.
 CAPACITY, END, OPEN, GAP = 4096, 2, 64, 32
@@ -150,7 +150,7 @@ def pack(
     kind = df.schema[key].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     schema = f"k {kind}, {_PIECE}, crc long"
-    placed = cut_lineage(df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(lambda it: _place(it, path, arrow, capacity, windows, gap, with_ids), schema))
+    placed = cut_lineage(df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(lambda it: given_back(_place(it, path, arrow, capacity, windows, gap, with_ids)), schema))
 
     left = placed.where("seq IS NULL")
     total = left.groupBy("part").agg(F.sum("length").alias("n"))
@@ -170,4 +170,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the pieces of the documents that are left."""
+    small_batches(spark)
     return pack(docs)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repseq.llm._common import WORD, spare, split_words, table
+from repseq.session import give_back, small_batches
 
 #: Fixed by the query contract.
 SYMBOLS = "#*$%&|<>"
@@ -188,6 +189,7 @@ def measure(df: DataFrame, text: str = "text", *, least: int = 50, out: str = "q
             t = t or ""
             covered, longest, size = repetition(t, least)
             found.append((*base_counts(t), size, covered, longest))
+        give_back()
         return pd.DataFrame(found, columns=list(COLUMNS), dtype="int64")
 
     return df.withColumn(out, counts(F.col(text)))
@@ -217,5 +219,6 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that pass, with their columns unchanged."""
+    small_batches(spark)
     (name,) = spare(docs, "quality")
     return measure(docs, out=name).where(~base_failed(name) & passes(name)).drop(name)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repseq.llm._common import dealt, rows
 from repseq.operators.components import connected_components
-from repseq.session import cut_lineage, join_counted
+from repseq.session import cut_lineage, given_back, join_counted, small_batches
 
 #: Bits by which linked fingerprints differ at most; each can spoil one byte, so five of the eight bytes stay equal.
 MAX_BITS = 3
@@ -204,7 +204,7 @@ def links(marks: DataFrame) -> DataFrame:
     many = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     posts = cut_lineage(posts.join(many, "key"))
     short = posts.where(F.col("n") <= LIST).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return short.mapInArrow(_scan_lists, "src long, dst long").union(_between(posts.where(F.col("n") > LIST)))
+    return short.mapInArrow(lambda it: given_back(_scan_lists(it)), "src long, dst long").union(_between(posts.where(F.col("n") > LIST)))
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
@@ -242,4 +242,5 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from repseq.llm.minhash import one_of_each_class  # builds on this module
 
+    small_batches(spark)
     return one_of_each_class(docs)

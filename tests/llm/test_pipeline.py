@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from repseq.llm import quality as Q
+from repseq.session import BATCH, small_batches
 
 
 def test_stages(spark, small, tmp_path):
@@ -47,3 +51,27 @@ def test_stages(spark, small, tmp_path):
 def test_run(spark, small):
     assert C.run(spark, small).count() > 0 and C.ORACLE_SQL is None
     assert [n for n, _ in C.STAGES] == ["quality", "language", "near_duplicates", "mixing", "packing"]
+
+
+def test_stages_take_small_batches(spark, small):
+    """A stage's texts go to the Python workers a few MB at a time, not ten thousand or 64 MB of them at once."""
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    large = spark.range(0, 2_000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    try:
+        for name, stage in C.STAGES:
+            if name == "mixing":  # hands no texts to Python
+                continue
+            spark.conf.unset(key)
+            stage(spark, docs, small)
+            seen = large.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in seen) == 2_000 and max(r.size for r in seen) < BATCH + 100_000, name
+        spark.conf.set(key, "1m")
+        small_batches(spark)
+        assert spark.conf.get(key) == "1m"  # a smaller setting stays
+    finally:
+        spark.conf.unset(key)
